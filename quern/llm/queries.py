@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..runtime import Scratch, read
+from ..runtime import Scratch, read, spread
 from .chunks import split_oversized
 from .docpairs import doc_pairs
 from .mixing import mix, mixture_report
 from .packing import pack, pack_report
 from .percentiles import clean_samples, day_sketch, merge_sketches, percentiles
+from .stuffing import flag_pages, page_curves, stuffed_pages
 from .tokens import with_tokens
 
 
@@ -62,7 +63,7 @@ def p6_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    sized = with_tokens(read(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens")
+    sized = with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))).select("doc_id", "source", "n_tokens")
     return Scratch(spark).keep(sized, "sized")
 
 
@@ -83,7 +84,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(sized, targets, mix(sized, targets))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_pairs, p6_percentiles, p6_day_sketch, p6_combined, p7_containers, p7_report, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(read(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's curve, its distance from pages of its kind, and its flag."""
+    return flag_pages(page_curves(read(spark, d, "documents"), Scratch(spark)))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_pairs, p6_percentiles, p6_day_sketch, p6_combined, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_curves)}
 
 _SAMPLES = " UNION ALL ".join(
     f"SELECT '{metric}' AS metric, {label} AS label, sample_id, min(recorded_at::DATE) AS day, min({duration}) AS value FROM {table} "
