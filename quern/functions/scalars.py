@@ -27,8 +27,7 @@ def string_len(s) -> Column:
 
 def string_chars(s) -> Column:
     """One string per code point; the empty list for the empty string."""
-    s = _c(s)
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, r"(?!^)(?!\z)(?<![\ud800-\udbff])"))
+    return F.regexp_extract_all(_c(s), F.lit("(?s)."), F.lit(0))
 
 
 def string_slice(s, start, end) -> Column:
