@@ -209,25 +209,26 @@ def signature(code: str) -> str:
     return inner.strip(",")
 
 
+#: The type that an item in a body belongs to, and before it the trait it implements, if any.
 _CONTAINER = {
-    "rs": re.compile(r"(?m)^(?:impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?|(?:pub\s+)?trait\s+)(\w+)"),
-    "py": re.compile(r"(?m)^class\s+(\w+)"),
-    "js": re.compile(r"(?m)^(?:export\s+)?class\s+(\w+)"),
+    "rs": re.compile(r"(?m)^[^\S\r\n]*(?:pub\s+)?(?:unsafe\s+)?(?:impl(?:<[^>]*>)?\s+(?:(\w+)(?:<[^>]*>)?\s+for\s+)?|trait\s+)(\w+)"),
+    "py": re.compile(r"(?m)^()class\s+(\w+)"),
+    "js": re.compile(r"(?m)^()(?:export\s+)?class\s+(\w+)"),
 }
 
 
-def extract(path: str, text: str, start: int, end: int, raw: bytes, name: str | None) -> tuple[str, str, str, str]:
-    """(code, doc, container, signature) of one item by its byte span."""
+def extract(path: str, start: int, end: int, raw: bytes) -> tuple[str, str, str, str, str]:
+    """(code, doc, container, trait, signature) of one item by its byte span."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     code = raw[start:end].decode("utf-8", "replace")
     before = raw[:start].decode("utf-8", "replace")
     doc = {"rs": lambda: rust_doc(before), "py": lambda: python_doc(code), "js": lambda: js_doc(before), "mica": lambda: mica_doc(before)}.get(ext, lambda: "")()
     line = max(before.rfind("\n"), before.rfind("\r")) + 1
-    container = ""
+    container = trait = ""
     if ext in _CONTAINER and before[line:].strip(" \t") == "" and len(before) > line:  # indented, so in a body
         held = _CONTAINER[ext].findall(before)
-        container = held[-1] if held else ""
-    return code, doc, container, signature(code)
+        trait, container = held[-1] if held else ("", "")
+    return code, doc, container, trait, signature(code)
 
 
 def doc_pairs(symbols: DataFrame, files: DataFrame, least_words: int = 4) -> DataFrame:
@@ -236,8 +237,9 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, least_words: int = 4) -> Dat
     Each function or method (kind in FUNCTION_KINDS in any spelling, with a span inside
     its file) with a documentation comment of at least ``least_words`` significant words.
     ``doc_from`` is 'own' for a comment of the item's own. An undocumented definition
-    takes the comment of a bodiless declaration of the same repository, language,
-    qualified name and normalised signature ('declaration'); overloads differ in it.
+    takes the comment of a bodiless declaration of the same repository and language whose
+    name, qualified by the type or the trait implemented, and normalised signature are the
+    same ('declaration'); overloads differ in the signature.
 
     Nulls: symbols without kind, path or span, files without path or text give no pair; a
     null repository matches nothing. Empty and reversed spans give none. Rows of several
@@ -254,7 +256,7 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, least_words: int = 4) -> Dat
     )
     body = files.where("path is not null and text is not null").groupBy("repository", "path").agg(F.max_by("text", F.struct("indexed_at", "hash", "text")).alias("text"))
     joined = body.join(spans, ["repository", "path"])
-    schema = "repository string, path string, start_byte long, name string, qualified string, signature string, language string, code string, doc string, words int, declared boolean"
+    schema = "repository string, path string, start_byte long, name string, qualified string, origin string, signature string, language string, code string, doc string, words int, declared boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -267,14 +269,14 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, least_words: int = 4) -> Dat
                     if b > len(raw) or (a, b) in seen:
                         continue
                     seen.add((a, b))
-                    code, doc, container, sig = extract(path, text, a, b, raw, name)
-                    out.append((repository, path, a, name, f"{container}.{name}" if container else name, sig, path.rsplit(".", 1)[-1].lower(), code, doc,
+                    code, doc, container, trait, sig = extract(path, a, b, raw)
+                    out.append((repository, path, a, name, f"{container}.{name}" if container else name, f"{trait or container}.{name}", sig, path.rsplit(".", 1)[-1].lower(), code, doc,
                                 significant_words(doc, name), code.rstrip().endswith(";")))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     table = joined.mapInPandas(run, schema)
     own = table.where(F.col("words") >= least_words)
-    key = ["repository", "language", "qualified", "signature"]
+    key = ["repository", "language", "origin", "signature"]
     # Declarations with words enough, one per key: combined before the shuffle.
     declared = own.where("declared").groupBy(*key).agg(F.min(F.struct("path", "start_byte", "doc")).alias("d"))
     lent = (
