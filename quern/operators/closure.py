@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import Scratch, maybe_broadcast
+from ..runtime import Scratch, maybe_broadcast, rows_of
 
 
 def closure(edges: DataFrame, src: str, dst: str, scratch: Scratch | None = None, stats: list | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def closure(edges: DataFrame, src: str, dst: str, scratch: Scratch | None = None
         left = delta.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         right = known.select("a", F.col("b").alias("m")).join(delta.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         new = s.keep(left.union(right).distinct().join(known, ["a", "b"], "left_anti"), "closure")
-        n = new.count()
+        n = rows_of(new)
         if stats is not None:
             stats.append(n)
         if not n:
@@ -48,7 +48,7 @@ def reachable_from(edges: DataFrame, src: str, dst: str, starts: DataFrame, scra
             known = known.union(p)
         step = maybe_broadcast(delta.select("a", F.col("b").alias("m"))).join(e, "m").select("a", "b").distinct()
         delta = s.keep(step.join(known, ["a", "b"], "left_anti"), "reach")
-        if delta.isEmpty():
+        if not rows_of(delta):
             return known.toDF("start", dst)
         parts.append(delta)
         if len(parts) >= 16:
@@ -61,7 +61,7 @@ def reaches(edges: DataFrame, src: str, dst: str, start, goal, scratch: Scratch
     e = edges.select(F.col(src).alias("m"), F.col(dst).alias("b")).distinct()
     front = s.keep(e.where(F.col("m") == F.lit(start)).select(F.col("b").alias("m")).distinct(), "front")
     seen = front
-    while not front.isEmpty():
+    while rows_of(front):
         if not front.where(F.col("m") == F.lit(goal)).isEmpty():
             return True
         front = s.keep(maybe_broadcast(front).join(e, "m").select(F.col("b").alias("m")).distinct().join(seen, "m", "left_anti"), "front")

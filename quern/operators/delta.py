@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.rules import Atom, RuleSet, clause, components, strata
-from ..runtime import Scratch, maybe_broadcast
+from ..runtime import Scratch, maybe_broadcast, rows_of
 
 W = "__w"
 
@@ -136,7 +136,7 @@ class MaintainedView:
             named = _named(c.drop(W)).columns
             c = c.select(*[F.col(a).alias(b) for a, b in zip([x for x in c.columns if x != W], named)], W)
             e = keep(effective(self.base[n], c), n)
-            if not e.isEmpty():
+            if rows_of(e):
                 real[n] = e
         old_base = dict(self.base)
         for n, e in real.items():
@@ -165,7 +165,7 @@ class MaintainedView:
                 cols = fresh.columns
                 diff = keep(zset(fresh.join(old[h], cols, "left_anti"), 1).union(zset(old[h].join(fresh, cols, "left_anti"), -1)), h)
                 self.state[h] = fresh
-                if not diff.isEmpty():
+                if rows_of(diff):
                     out[h] = diff
         self.version += 1
         return out
@@ -196,7 +196,7 @@ class MaintainedView:
                 if h in dead:
                     d = d.join(dead[h], d.columns, "left_anti")
                 d = keep(d, h)
-                if not d.isEmpty():
+                if rows_of(d):
                     dead[h] = keep(dead[h].union(d), h) if h in dead else d
                     front[h] = d
         alive = {h: keep(before[h].join(dead[h], before[h].columns, "left_anti"), h) if h in dead else before[h] for h in component}
@@ -229,7 +229,7 @@ class MaintainedView:
         for h, parts in grown.items():
             if parts:
                 d = self.scratch.keep(reduce(DataFrame.union, parts).distinct().join(alive[h], alive[h].columns, "left_anti"), h)
-                if not d.isEmpty():
+                if rows_of(d):
                     out[h] = d
         return out
 

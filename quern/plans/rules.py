@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..relation import RelationError
-from ..runtime import Scratch
+from ..runtime import Scratch, rows_of
 from .atoms import Var, match
 
 
@@ -312,7 +312,7 @@ class RuleSet:
                 if found:
                     cols = _columns(arity[h])
                     new = s.keep(_unite(found).join(full[h], cols, "left_anti"), h)
-                    n = new.count()
+                    n = rows_of(new)
                     stats.novel.append(n)
                     if n:
                         delta[h] = new

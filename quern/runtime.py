@@ -48,19 +48,29 @@ class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
     ``keep`` writes a frame once and reads it back: the plan behind it is cut and,
-    unlike checkpoint(), its last stage runs once and the copy is compressed.
+    unlike checkpoint(), its last stage runs once and the copy is compressed. A frame that
+    the optimizer puts at no more than ``local_bytes`` is fetched instead, up to
+    ``local_rows`` rows, and kept in the plan itself: rounds over a handful of rows then
+    cost one job. What turns out larger is written like all else.
     ``drop`` removes tables that no later plan reads; the rest go when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, local_bytes: int = 4 << 20, local_rows: int = 10_000):
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/quern-{uuid.uuid4().hex}", {}
+        self.local_bytes, self.local_rows = local_bytes, local_rows
         atexit.register(self.close)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        if df.columns and plan_bytes(df) <= self.local_bytes:
+            held = df.limit(self.local_rows + 1).toArrow()
+            if held.num_rows <= self.local_rows and held.nbytes <= self.local_bytes:
+                out = self.spark.createDataFrame(held, df.schema)
+                out._rows = held.num_rows
+                return out
         path = f"{self.root}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:6]}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[path] = name
         out._scratch_path = path
         return out
 
@@ -82,6 +92,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows of a kept frame: known where it is local, else from the footers."""
+    known = getattr(df, "_rows", None)
+    return df.count() if known is None else known
+
+
 def maybe_broadcast(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """Hints a broadcast only where the optimizer's size estimate is within ``limit``;
     otherwise the plain frame, which Catalyst joins by shuffle."""
@@ -92,8 +108,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over at least all cores, ahead of work that CPU bounds and not bytes."""
+def spread(df: DataFrame, scan: bool = False) -> DataFrame:
+    """Rows dealt evenly over at least all cores, ahead of work that CPU bounds and not
+    bytes. For a plain ``scan`` only where its files give fewer tasks than there are cores,
+    as a large table's never do."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+    cores = spark.sparkContext.defaultParallelism
+    if scan and df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
