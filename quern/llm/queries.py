@@ -63,7 +63,7 @@ def p6_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    sized = with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))).select("doc_id", "source", "n_tokens")
+    sized = with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"), scan=True)).select("doc_id", "source", "n_tokens")
     return Scratch(spark).keep(sized, "sized")
 
 

@@ -131,6 +131,7 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
     votes = [(code, F.size(F.array_intersect(F.col("__words"), F.array(*[F.lit(w) for w in sorted(set(ws.split()))])))) for code, ws in FUNCTION_WORDS.items()]
     best = F.greatest(*[F.struct(v.alias("v"), F.lit(code).alias("code")) for code, v in votes])
     label = F.when(F.lower("lang").isin(*FUNCTION_WORDS), F.lower("lang")).otherwise("und")
+    docs = spread(docs.select("doc_id", "text", "lang"), scan=True)
     pages = docs.select("doc_id", F.xxhash64("text").alias("page"), "lang", words.alias("__words")).where(F.size("__words") > 0)
     pages = pages.withColumn("__best", best).withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label))
     counts = scratch.keep(pages.select("doc_id", "page", "language", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "w").agg(F.count("*").alias("c")), "words")
