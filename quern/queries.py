@@ -8,11 +8,12 @@ from .catalog import Catalog, RelationMeta
 from .functions import literals, scalars as S
 from .operators import closure as G, delta as D, dispatch as X, search
 from .plans.algebra import Plan
+from .plans import demand
 from .plans.atoms import HOLE, Var, exists, query, values
 from .plans.rules import RuleSet, atom, guard, rule
 from .relation import Relation, top_by_key
 from .runtime import Scratch, read
-from .sources import files as FS
+from .sources import computed as CR, files as FS, syntax as SY
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -459,6 +460,60 @@ def source_index(spark, d):
     return FS.source_index(read(spark, d, "indexed_text_unit"), read(spark, d, "indexed_symbol"))
 
 
+_PLACES = "p AS (SELECT DISTINCT repository, path, start_byte + 1 AS byte_offset FROM indexed_reference WHERE path IS NOT NULL AND start_byte IS NOT NULL)"
+
+
+def _places(spark, d):
+    r = read(spark, d, "indexed_reference").where("path is not null and start_byte is not null")
+    return r.select("repository", "path", (F.col("start_byte") + 1).alias("byte_offset")).distinct()
+
+
+@_q("""SELECT DISTINCT repository, path, path || ':' || start_byte || ':' || end_byte AS node, lower(trim(kind)) AS kind, name, start_line, end_line, start_byte, end_byte
+FROM indexed_symbol WHERE deleted_at IS NULL AND start_byte IS NOT NULL AND end_byte IS NOT NULL AND path IS NOT NULL""")
+def syntax_outline(spark, d):
+    return SY.syntax_outline(read(spark, d, "indexed_symbol").where("path is not null"))
+
+
+@_q(f"""WITH {_PLACES}, o AS (SELECT DISTINCT repository, path, start_byte AS a, end_byte AS b FROM indexed_symbol WHERE deleted_at IS NULL AND start_byte IS NOT NULL AND end_byte IS NOT NULL)
+SELECT p.repository, p.path, byte_offset, arg_min(p.path || ':' || a || ':' || b, struct_pack(s := b - a, n := p.path || ':' || a || ':' || b)) AS node FROM p JOIN o ON p.repository = o.repository AND p.path = o.path AND a <= byte_offset AND byte_offset < b GROUP BY ALL""")
+def syntax_node_at(spark, d):
+    return SY.syntax_node_at(read(spark, d, "indexed_symbol"), _places(spark, d)).select("repository", "path", "byte_offset", "node")
+
+
+@_q(f"""WITH {_PLACES}, r AS (SELECT DISTINCT repository, path, symbol, start_byte AS a, end_byte AS b FROM indexed_reference WHERE symbol <> ''),
+t AS (SELECT DISTINCT p.repository, p.path, byte_offset, symbol FROM p JOIN r ON p.repository = r.repository AND p.path = r.path AND a <= byte_offset AND byte_offset < b)
+SELECT DISTINCT t.repository, t.path, byte_offset, t.symbol, s.name, lower(trim(s.kind)) AS kind, s.path AS target_path, start_line, end_line, start_byte, end_byte, 'index' AS provider
+FROM t JOIN indexed_symbol s ON t.repository = s.repository AND t.symbol = s.symbol WHERE s.deleted_at IS NULL""")
+def definition_at(spark, d):
+    return SY.definition_at(read(spark, d, "indexed_reference"), read(spark, d, "indexed_symbol"), _places(spark, d))
+
+
+@_q("""SELECT DISTINCT r.repository, r.symbol, r.path, r.start_line, r.end_line, r.start_byte, r.end_byte, 'index' AS provider, r.name FROM indexed_reference r
+WHERE EXISTS (SELECT 1 FROM indexed_symbol s WHERE s.repository = r.repository AND s.symbol = r.symbol AND s.kind = 'class')""")
+def references_of(spark, d):
+    return SY.references_of(read(spark, d, "indexed_reference"), read(spark, d, "indexed_symbol").where("kind = 'class'"))
+
+
+@_q()
+def syntax_line(spark, d):
+    return SY.syntax_line(read(spark, d, "source_file"), 1, 5)
+
+
+@_q("SELECT DISTINCT repository, path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'markdown' END AS language, model FROM indexed_text_unit WHERE path LIKE '%.md'")
+def computed_relation(spark, d):
+    """A computed relation read through bindings: a bound output position filters."""
+    reg = CR.source_relations(read(spark, d, "indexed_text_unit"), read(spark, d, "indexed_symbol"), read(spark, d, "source_file"))
+    return reg.scan("IndexedFile", [None, None, "markdown", None])
+
+
+@_q(f"WITH RECURSIVE {_E}, p AS (SELECT a, b FROM e WHERE a = 1 UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a AS c0, b AS c1 FROM p")
+def demand_bound(spark, d):
+    """A bound read of a recursive head derives only what it asks for."""
+    r = Tables(spark, d, {"Edge": _edges(spark, d)})
+    rs = RuleSet([rule(atom("Reach", "?x", "?y"), atom("Edge", "?x", "?y")), rule(atom("Reach", "?x", "?z"), atom("Edge", "?x", "?y"), atom("Reach", "?y", "?z"))])
+    return demand.ask(rs, r, "Reach", [1, None], spark, "long")
+
+
 @_q()
 def fileout(spark, d):
     return FS.render_facts("Nation", _t(spark, d, "nation", "n_nationkey", "n_name"))
