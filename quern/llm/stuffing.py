@@ -25,7 +25,7 @@ FUNCTION_WORDS = {
 }
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")  # digits may stand for letters inside a word
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b(?:/\S*)?", re.I)
 _URL_HINT = re.compile(r"://|www\.|\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b", re.I)
 _CODE_HINT = re.compile(r"[{};(<>=]")
@@ -35,13 +35,14 @@ _CODE = re.compile(r"[{};]\s*$|\w\(.*\)|[=<>]=|:=|\s[=<]\s|=>|->|^\s*(?:if|while
 _CODE_HEAD = re.compile(r"^\s*(?:let|return|if|end|assert|retract|verb|fn|def|const|import|else|for|while|emit)\b")
 _LABEL = re.compile(r"^[^\W\d_]+: ")
 _TAG_LABEL = re.compile(r"(?i)(?:tag|keyword|schlag|mots|etiq|palabra)")
+_ITEM = re.compile(r"\s*[,;|·•]\s*|\s+[-–—/>»]\s+")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _INNER_STOP = re.compile(r"[^\W\d_]{2}[.!?](?:\s|$)")
 
 
 def line_kind(line: str) -> tuple[str, int, list[str]]:
-    """('link' | 'tags' | 'keywords' | 'prose' | 'other', words, the words outside URLs in
-    lower case); a URL is one word."""
+    """(kind, words, the words outside URLs in lower case); a URL is one word. Kinds: link,
+    tags, keywords, prose, code, head (it could start a line of code) and other."""
     s = line.strip()
     if s.startswith("|") and s.endswith("|"):
         return "other", len(_WORD.findall(s)), []
@@ -58,19 +59,22 @@ def line_kind(line: str) -> tuple[str, int, list[str]]:
     if not words:
         return "other", 0, words
     coded = _CODE_HINT.search(s)
-    if (coded and (_FACT.match(s) or _CODE.search(s))) or (len(words) <= 3 and _CODE_HEAD.match(s)):
-        return "other", n, words
+    if coded and (_FACT.match(s) or _CODE.search(s)):
+        return "code", n, words
+    if len(words) <= 3 and _CODE_HEAD.match(s):
+        return "head", n, words
     if re.match(r"(?i)(?:sku|art|ref)\b\.? ?\d", s) or ("#" in s and len(re.findall(r"#\w", s)) >= 2) or len(re.findall(r"\s[>|»/]\s", s)) >= 2:
         return "tags", n, words
     if s[0] == "#" and re.match(r"#+ ", s):
         return "other", n, words
-    if function <= 0.08 * len(words):
-        if _STOP.search(s):
-            return ("prose" if len(words) > 2 else "other"), n, words
-        if _LABEL.match(s) and not _TAG_LABEL.match(s) and "," not in s:
-            return "other", n, words
-        return "keywords", n, words
-    return "prose", n, words
+    if _STOP.search(s):
+        return ("prose" if len(words) > 2 else "other"), n, words
+    if _LABEL.match(s) and not _TAG_LABEL.match(s) and "," not in s:
+        return ("other" if function <= 0.08 * len(words) else "prose"), n, words
+    if len([x for x in _ITEM.split(s) if x]) >= max(5, len(words) / 4) and not _INNER_STOP.search(s):
+        return "keywords", n, words  # a list of short items
+    # Short lines without a stop may hold a function word or so, as in "not dear".
+    return ("keywords" if function <= (0.34 if len(words) <= 6 and s[-1] not in ",;:" else 0.08) * len(words) else "prose"), n, words
 
 
 def concentration(words: list[str]) -> float:
@@ -82,7 +86,7 @@ def concentration(words: list[str]) -> float:
 def stuffed_share(text: str, dense: float = 0.3) -> float:
     """The share of a page's words in link, tag and keyword lines and in prose of at least
     20 words of which two words make up ``dense``. Fenced code counts as neither."""
-    total = bad = 0
+    total = bad = heads = coded = lines = 0
     fenced = False
     held: list[str] = []
 
@@ -103,6 +107,7 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
             flush()
         else:
             kind, n, words = line_kind(line)
+            lines += 1
             if kind == "prose":
                 total += len(words)
                 if len(words) >= 25:
@@ -114,7 +119,11 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
                 flush()
                 total += n
                 bad += n if kind in ("link", "tags", "keywords") else 0
+                heads += n if kind == "head" and len(words) > 1 else 0
+                coded += kind == "code"
     flush()
+    if coded < 0.1 * lines:  # no code on the page, so what looked like its heads are keywords
+        bad += heads
     return bad / total if total else 0.0
 
 
