@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import Scratch
 
@@ -52,11 +52,12 @@ def mixture_plan(sized: DataFrame, targets: DataFrame, total: float | None = Non
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     t = t.join(have, "source", "left").na.fill({"docs": 0, "tokens": 0, "target_share": 0.0, "max_repeats": 0})
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    sums = t.where(usable).agg(F.sum("target_share").alias("__sum"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("__m"))
+    every = Window.partitionBy(F.lit(0))  # one row per target source
+    t = t.select("*", F.sum(F.when(usable, F.col("target_share"))).over(every).alias("__sum"), F.min(F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).over(every).alias("__m"))
     share = F.when(usable, F.col("target_share") / F.col("__sum")).otherwise(0.0)
     largest = F.col("__m") * F.col("__sum")
     goal = share * (F.least(F.lit(float(total)), largest) if total is not None else largest)
-    return t.join(sums, how="left").withColumn("share", share).withColumn("goal", F.coalesce(goal, F.lit(0.0))).withColumn(
+    return t.withColumn("share", share).withColumn("goal", F.coalesce(goal, F.lit(0.0))).withColumn(
         "rate", F.when(F.col("tokens") > 0, F.least(F.col("goal") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)).drop("__sum", "__m")
 
 
@@ -124,6 +125,6 @@ def mixture_report(sized: DataFrame, targets: DataFrame, mixed: DataFrame, total
     plan = mixture_plan(sized.where("source is not null and doc_id is not null and n_tokens > 0"), targets, total)
     got = mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
     x = plan.join(got, "source", "left").na.fill({"mixed_tokens": 0, "copies": 0, "most_copies": 0})
-    whole = x.agg(F.sum("mixed_tokens").alias("__all"))
-    return x.join(whole).select("source", "target_share", "max_repeats", "docs", "tokens", F.round("share", 6).alias("share"), "mixed_tokens", "copies", "most_copies",
+    x = x.withColumn("__all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
+    return x.select("source", "target_share", "max_repeats", "docs", "tokens", F.round("share", 6).alias("share"), "mixed_tokens", "copies", "most_copies",
                                 F.round(F.col("mixed_tokens") / F.col("__all"), 6).alias("actual_share"))
