@@ -254,7 +254,7 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, least_words: int = 4) -> Dat
         symbols.where(kind.isin(*FUNCTION_KINDS) & F.col("start_byte").isNotNull() & F.col("end_byte").isNotNull() & (F.col("end_byte") > F.col("start_byte")) & (F.col("start_byte") >= 0))
         .groupBy("repository", "path").agg(F.collect_set(F.struct("start_byte", "end_byte", "name")).alias("spans"))
     )
-    body = files.where("path is not null and text is not null").groupBy("repository", "path").agg(F.max_by("text", F.struct("indexed_at", "hash", "text")).alias("text"))
+    body = files.where("path is not null and text is not null").groupBy("repository", "path").agg(F.max_by("text", F.struct("indexed_at", "hash", F.xxhash64("text"))).alias("text"))
     joined = body.join(spans, ["repository", "path"])
     schema = "repository string, path string, start_byte long, name string, qualified string, origin string, signature string, language string, code string, doc string, words int, declared boolean"
 
