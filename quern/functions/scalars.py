@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 INT_MAX = 2**55 - 1
 INT_MIN = -(2**55)
@@ -267,9 +268,20 @@ def json_get(x, key: str, kind: str = "string") -> Column:
 
 def embed_text(text, dimensions: int = 8) -> Column:
     """The deterministic embedding: code point plus place, modulo 8, counted and scaled to
-    length 1 (all zero for the empty text), as floats. Null for null."""
-    s = _c(text)
-    slots = F.transform(string_chars(s), lambda ch, i: F.pmod(F.ascii(ch) + i, F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(slots, lambda x: x == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(s.isNotNull(), F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float")))
+    length 1 (all zero for the empty text), as floats. Null for null. One pass over the
+    code points in Arrow batches; higher-order functions would walk the text per slot."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str | None):
+            if t is None:
+                return None
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("int64")
+            counts = np.bincount((points + np.arange(len(points))) % dimensions, minlength=dimensions).astype("float64")
+            norm = np.sqrt((counts * counts).sum())
+            return (counts / norm if norm else counts).astype("float32")
+
+        for b in batches:
+            yield b.map(one)
+
+    return embed(_c(text))

@@ -157,8 +157,7 @@ def clause(r: Rule, read, delta_at: int | None = None, delta: DataFrame | None =
         else:
             out = _join(out, rows)
         out = ready(out)
-    kinds = dict(out.dtypes)
-    return out.select(*[F.col(f"`{a.name}`").alias(f"c{k}") if isinstance(a, Var) else F.lit(a).alias(f"c{k}") for k, a in enumerate(r.head.args)]) if kinds is not None else out
+    return out.select(*[F.col(f"`{a.name}`").alias(f"c{k}") if isinstance(a, Var) else F.lit(a).alias(f"c{k}") for k, a in enumerate(r.head.args)])
 
 
 def _join(left: DataFrame, right: DataFrame) -> DataFrame:

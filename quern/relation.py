@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import MapType, StructField, StructType, VariantType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 
 class RelationError(ValueError):
@@ -170,7 +170,7 @@ class Relation:
 def _empty_like(left: DataFrame, right: DataFrame, shared: Sequence[str]) -> DataFrame:
     """``right`` without rows, its shared columns typed as ``left``'s."""
     kinds = {f.name: f.dataType for f in left.schema.fields}
-    return right.limit(0).select(*[F.col(c).cast("string").cast(kinds[c]).alias(c) if c in shared else F.col(c) for c in right.columns])
+    return right.limit(0).select(*[F.lit(None).cast(kinds[c]).alias(c) if c in shared else F.col(c) for c in right.columns])
 
 
 def top_by_key(rel: Relation, keys: Sequence[str], order) -> Relation:
@@ -178,6 +178,3 @@ def top_by_key(rel: Relation, keys: Sequence[str], order) -> Relation:
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return Relation(rel.df.withColumn("__n", n).where("__n = 1").drop("__n"), is_set=True)
 
-
-def schema_of(fields: dict[str, str]) -> StructType:
-    return StructType([StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in fields.items()])

@@ -21,7 +21,6 @@ def test_orphans(spark, rows):
         (5, "r", None, "", T[5], 0), (6, "r", "a", "p", None, 0), (7, None, "a", None, T[5], 0), (8, "r", "a", None, T[1], 0), (9, "r", "a", None, T[10], 0), (10, "q", "a", None, T[5], 0)], REF)
     lives = spark.createDataFrame([("r", "a", T[1], T[10], 1), ("r", "a", T[1], T[10], 1), ("r", "n", None, None, 1), (None, "a", T[0], None, 1)], LIFE)
     files = spark.createDataFrame([("r", "p", T[50], None)], FILE)
-    want = [(1, None)]
     want = [(2, "symbol", "late", "2025-01"), (3, "symbol", "deleted", "2025-01"), (4, "path", "late", "2025-02"), (4, "symbol", "missing", "2025-02"), (7, "symbol", "missing", "2025-01"), (9, "symbol", "deleted", "2025-01"), (10, "symbol", "missing", "2025-01")]
     assert rows(reference_orphans(refs, lives, files)) == sorted(want, key=repr)
     # The same without the filter, and with every key treated as hot.
