@@ -140,10 +140,16 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
     votes = [(code, F.size(F.array_intersect(F.col("__words"), F.array(*[F.lit(w) for w in sorted(set(ws.split()))])))) for code, ws in FUNCTION_WORDS.items()]
     best = F.greatest(*[F.struct(v.alias("v"), F.lit(code).alias("code")) for code, v in votes])
     label = F.when(F.lower("lang").isin(*FUNCTION_WORDS), F.lower("lang")).otherwise("und")
-    docs = spread(docs.select("doc_id", "text", "lang"), scan=True)
-    pages = docs.select("doc_id", F.xxhash64("text").alias("page"), "lang", words.alias("__words")).where(F.size("__words") > 0)
+    # Pages are dealt out by id once; counting and ranking a page's words then stay in its
+    # task, and what later steps sum per page or language combines before it is shuffled.
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = docs.select("doc_id", "text", "lang").where("text is not null").repartition(tasks, "doc_id")
+    pages = pages.select("doc_id", F.xxhash64("text").alias("page"), "lang", words.alias("__words")).where(F.size("__words") > 0)
     pages = pages.withColumn("__best", best).withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label))
-    counts = scratch.keep(pages.select("doc_id", "page", "language", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "w").agg(F.count("*").alias("c")), "words")
+    per = Window.partitionBy("doc_id", "page", "language")
+    counted = pages.select("doc_id", "page", "language", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "w").agg(F.count("*").alias("c"))
+    counts = scratch.keep(counted.withColumn("r", F.row_number().over(per.orderBy(F.col("c").desc(), "w"))), "words")
 
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("t").desc(), "w"))
     corpus = counts.groupBy("language", "w").agg(F.sum("c").alias("t"))
@@ -151,9 +157,7 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
     known = corpus.withColumn("k", rank).where(F.col("k") <= top_words).join(sums, "language").select("language", "w", (F.col("t") / F.col("all")).alias("q"))
     rest = known.groupBy("language").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest"))
 
-    per = Window.partitionBy("doc_id", "page", "language")
-    ranked = counts.select("*", F.row_number().over(per.orderBy(F.col("c").desc(), "w")).alias("r"))
-    x = ranked.join(F.broadcast(known), ["language", "w"], "left").withColumn("__x", F.log("r")).withColumn("__y", F.log("c"))
+    x = counts.join(F.broadcast(known), ["language", "w"], "left").withColumn("__x", F.log("r")).withColumn("__y", F.log("c"))
     fit = x.groupBy("doc_id", "page", "language").agg(
         F.sum("c").alias("n"), F.count("*").alias("types"), F.regr_slope("__y", "__x").alias("slope"),
         F.regr_syy("__y", "__x").alias("__syy"), F.regr_sxy("__y", "__x").alias("__sxy"), F.regr_sxx("__y", "__x").alias("__sxx"),
@@ -168,7 +172,7 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
         kl.alias("divergence"))
 
 
-def flag_pages(curves: DataFrame, far: float = 0.25, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
+def flag_pages(curves: DataFrame, far: float = 0.5, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
     """Curves with ``flag``: 'divergence' if it lies more than ``far`` robust deviations
     (1.48 times the median distance from the median) above that of pages of the same
     language and power of two of words, 'slope' or 'residual' if more than ``steep`` off;
