@@ -181,7 +181,7 @@ def js_doc(before: str) -> str:
     return _block(body[3:-2])
 
 
-def mica_doc(before: str) -> str:
+def slash_doc(before: str) -> str:
     """The run of `//` lines that ends on the line above."""
     found = []
     for line in reversed(_lines_above(before)):
@@ -222,7 +222,7 @@ def extract(path: str, start: int, end: int, raw: bytes) -> tuple[str, str, str,
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     code = raw[start:end].decode("utf-8", "replace")
     before = raw[:start].decode("utf-8", "replace")
-    doc = {"rs": lambda: rust_doc(before), "py": lambda: python_doc(code), "js": lambda: js_doc(before), "mica": lambda: mica_doc(before)}.get(ext, lambda: "")()
+    doc = {"rs": lambda: rust_doc(before), "py": lambda: python_doc(code), "js": lambda: js_doc(before), "mica": lambda: slash_doc(before)}.get(ext, lambda: "")()
     line = max(before.rfind("\n"), before.rfind("\r")) + 1
     container = trait = ""
     if ext in _CONTAINER and before[line:].strip(" \t") == "" and len(before) > line:  # indented, so in a body

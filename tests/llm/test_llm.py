@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.chunks import split_oversized, split_text
-from quern.llm.docpairs import doc_pairs, js_doc, mica_doc, python_doc, rust_doc, significant_words, signature
+from quern.llm.docpairs import doc_pairs, js_doc, slash_doc, python_doc, rust_doc, significant_words, signature
 from quern.llm.mixing import mix, mixture_report, pivotal
 from quern.llm.packing import pack, pack_report, pack_sizes
 from quern.llm.percentiles import clean_samples, day_sketch, merge_sketches, multi_select, percentiles
@@ -85,11 +85,11 @@ def test_python(code, doc):
     assert python_doc(code) == doc
 
 
-def test_js_and_mica():
+def test_js_and_slashes():
     assert js_doc("/**\n * Does it.\n */\n    ").strip() == "Does it."
     assert js_doc("/** One */\nexport ").strip() == "One"
     assert js_doc("/** One */\n\n") == "" and js_doc("/* One */\n") == "" and js_doc("/*** One */\n") == "" and js_doc('log("/** x */");\n') == ""
-    assert mica_doc("x\n// one\n// two\n") == "one\ntwo" and mica_doc("// one\n\n") == "" and mica_doc("") == ""
+    assert slash_doc("x\n// one\n// two\n") == "one\ntwo" and slash_doc("// one\n\n") == "" and slash_doc("") == ""
 
 
 def test_trivial():
