@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import Scratch, maybe_broadcast, spread
+from ..runtime import Scratch, plan_bytes, spread
 
 #: Common function words of the languages told apart.
 FUNCTION_WORDS = {
@@ -25,10 +25,10 @@ FUNCTION_WORDS = {
 }
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
-_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")  # digits may stand for letters inside a word
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b(?:/\S*)?", re.I)
-_URL_HINT = re.compile(r"://|www\.|\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b", re.I)
+_URL_HINT = re.compile(r"\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b", re.I)
 _CODE_HINT = re.compile(r"[{};(<>=]")
+_MARKED = re.compile(r"[{}();<>=#|»]| / ")
 _ANCHOR = re.compile(r"</?a\b[^>]*>", re.I)
 _FACT = re.compile(r"^\s*(?:v?\d+[.:)]?\s*)?[+-]?\s*[A-Za-z_]\w*\([^()]*\)[.;]?\s*$")
 _CODE = re.compile(r"[{};]\s*$|\w\(.*\)|[=<>]=|:=|\s[=<]\s|=>|->|^\s*(?:if|while|for)\b[^,.]*>")
@@ -40,24 +40,42 @@ _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _INNER_STOP = re.compile(r"[^\W\d_]{2}[.!?](?:\s|$)")
 
 
+class _Letters(dict):
+    """Maps every character that is no letter or digit to a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalnum() else 32
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters and digits with a letter in them: digits may stand for letters."""
+    return [w for w in text.translate(_LETTERS).split() if not w.isdigit()]
+
+
 def line_kind(line: str) -> tuple[str, int, list[str]]:
     """(kind, words, the words outside URLs in lower case); a URL is one word. Kinds: link,
     tags, keywords, prose, code, head (it could start a line of code) and other."""
     s = line.strip()
     if s.startswith("|") and s.endswith("|"):
-        return "other", len(_WORD.findall(s)), []
+        return "other", len(_words(s)), []
     urls, rest = [], s
-    if _URL_HINT.search(s):
+    if "://" in s or "www." in s.lower() or _URL_HINT.search(s):
         urls = _URL.findall(s)
         rest = _ANCHOR.sub(" ", _URL.sub(" ", s))
-    words = _WORD.findall(rest.lower())
-    function, n = sum(w in FUNCTION for w in words), len(words) + len(urls)
+    words = _words(rest.lower())
+    function, n = sum(map(FUNCTION.__contains__, words)), len(words) + len(urls)
     if urls:
         if len(words) <= 6 * len(urls) and not _INNER_STOP.search(rest):
             return "link", n, words
         return ("prose" if function >= 0.1 * len(words) else "link"), n, words
     if not words:
         return "other", 0, words
+    if len(words) > 3 and s[-1] in ".!?" and not _MARKED.search(s) and s[:3].lower() not in ("sku", "art", "ref"):
+        return "prose", n, words  # the usual case, without the looks at other kinds
     coded = _CODE_HINT.search(s)
     if coded and (_FACT.match(s) or _CODE.search(s)):
         return "code", n, words
@@ -79,8 +97,11 @@ def line_kind(line: str) -> tuple[str, int, list[str]]:
 
 def concentration(words: list[str]) -> float:
     """The share of the two commonest content words."""
-    top = Counter(w for w in words if w not in FUNCTION and len(w) > 1).most_common(2)
-    return sum(v for _, v in top) / len(words) if words else 0.0
+    first = second = 0
+    for w, k in Counter(words).items():
+        if k > second and len(w) > 1 and w not in FUNCTION:
+            first, second = (k, first) if k > first else (first, k)
+    return (first + second) / len(words) if words else 0.0
 
 
 def stuffed_share(text: str, dense: float = 0.3) -> float:
@@ -102,7 +123,7 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
             fenced = not fenced
             flush()
         elif fenced:
-            total += len(_WORD.findall(line))
+            total += len(_words(line))
         elif not s:
             flush()
         else:
@@ -211,7 +232,10 @@ def stuffed_pages(docs: DataFrame, least_share: float = 0.5, scratch: Scratch |
             yield t.map(stuffed_share).astype("float64")
 
     # Flagged pages are a share of all, so their ids are broadcast only where they are few;
-    # reading them is the CPU's work, so they are spread over all cores first.
-    held = texts.join(maybe_broadcast(s.keep(flagged, "flagged"), 16 << 20), ["doc_id", "page"])
-    held = spread(held.select("doc_id", "language", "flag", "text"))
+    # reading them is the CPU's work, so where no join deals them out that is done first.
+    flagged = s.keep(flagged, "flagged")
+    few = plan_bytes(flagged) <= 16 << 20
+    held = texts.join(F.broadcast(flagged) if few else flagged, ["doc_id", "page"]).select("doc_id", "language", "flag", "text")
+    if few:
+        held = spread(held)
     return held.select("doc_id", "language", "flag", share("text").alias("share")).where(F.col("share") > least_share).distinct()
