@@ -168,9 +168,9 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
     pages = docs.select("doc_id", "text", "lang").where("text is not null").repartition(tasks, "doc_id")
     pages = pages.select("doc_id", F.xxhash64("text").alias("page"), "lang", words.alias("__words")).where(F.size("__words") > 0)
     pages = pages.withColumn("__best", best).withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label))
-    per = Window.partitionBy("doc_id", "page", "language")
+    per = Window.partitionBy("doc_id", "page", "language")  # ties may rank either way: the curve is the same
     counted = pages.select("doc_id", "page", "language", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "w").agg(F.count("*").alias("c"))
-    counts = scratch.keep(counted.withColumn("r", F.row_number().over(per.orderBy(F.col("c").desc(), "w"))), "words")
+    counts = scratch.keep(counted.withColumn("r", F.row_number().over(per.orderBy(F.col("c").desc()))), "words")
 
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("t").desc(), "w"))
     corpus = counts.groupBy("language", "w").agg(F.sum("c").alias("t"))
