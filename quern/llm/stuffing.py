@@ -1,8 +1,9 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
 Each page's words by rank give a curve; SQL windows fit its slope and residual and take
-its divergence from the prose of its language. Pages that lie far from pages of the same
-language and a comparable length are flagged, and the flagged ones are read line by line.
+its divergence from the prose of its language, and flag_pages marks those that lie far from
+pages of the same language and a comparable length. Which pages are spam doesn't hang on
+the flags: every page is read line by line.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import Scratch, plan_bytes, spread
+from ..runtime import Scratch, spread
 
 #: Common function words of the languages told apart.
 FUNCTION_WORDS = {
@@ -193,7 +194,7 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
         kl.alias("divergence"))
 
 
-def flag_pages(curves: DataFrame, far: float = 0.5, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
+def flag_pages(curves: DataFrame, far: float = 0.25, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
     """Curves with ``flag``: 'divergence' if it lies more than ``far`` robust deviations
     (1.48 times the median distance from the median) above that of pages of the same
     language and power of two of words, 'slope' or 'residual' if more than ``steep`` off;
@@ -213,29 +214,25 @@ def flag_pages(curves: DataFrame, far: float = 0.5, steep: float = 2.0, short: i
     return z.select("doc_id", "page", "language", "n", "types", "slope", "residual", "divergence", *[F.round(score[k], 4).alias(f"z_{k}") for k in names], flag.alias("flag"))
 
 
-def stuffed_pages(docs: DataFrame, least_share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, language, flag, share) of pages more than ``least_share`` of whose words lie
-    in repeated keywords, lists of links or of product tags.
-
-    Candidates come from the curves (flag_pages); each is then read whole. Null and empty
-    texts and texts without letters are no cases; a null or wrong lang only decides where
-    no function words occur. Repeated rows of one id count once; an empty table gives no
-    rows; columns other than doc_id, text and lang aren't read.
-    """
-    s = scratch or Scratch(docs.sparkSession)
-    flagged = flag_pages(s.keep(page_curves(docs, s), "curves")).where("flag is not null").select("doc_id", "page", "language", "flag")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("page"), "text").where("text is not null")
+def read_share(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, share) of every page with a text, each read line by line."""
 
     @F.pandas_udf("double")
     def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in batches:
             yield t.map(stuffed_share).astype("float64")
 
-    # Flagged pages are a share of all, so their ids are broadcast only where they are few;
-    # reading them is the CPU's work, so where no join deals them out that is done first.
-    flagged = s.keep(flagged, "flagged")
-    few = plan_bytes(flagged) <= 16 << 20
-    held = texts.join(F.broadcast(flagged) if few else flagged, ["doc_id", "page"]).select("doc_id", "language", "flag", "text")
-    if few:
-        held = spread(held)
-    return held.select("doc_id", "language", "flag", share("text").alias("share")).where(F.col("share") > least_share).distinct()
+    texts = spread(docs.select("doc_id", "text"), scan=True).where("text is not null")
+    return texts.select("doc_id", F.xxhash64("text").alias("page"), share("text").alias("share"))
+
+
+def stuffed_pages(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """(doc_id, share) of pages more than ``least_share`` of whose words lie in repeated
+    keywords, lists of links or of product tags.
+
+    Every page is read whole and judged by itself: no curve, language or other page
+    decides what is read. Null and empty texts and texts without letters are no cases.
+    Repeated rows of one id count once; an empty table gives no rows; columns other than
+    doc_id and text aren't read.
+    """
+    return read_share(docs).where(F.col("share") > least_share).select("doc_id", "share").distinct()

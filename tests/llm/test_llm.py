@@ -263,3 +263,13 @@ def test_stuffed_pages(spark):
     steep = {r.doc_id: r.slope for r in curves.collect()}
     assert steep[303] < steep[200] < 0
     assert flag_pages(curves).where("flag is not null").count() >= 6
+
+
+def test_spam_among_spam_is_found(spark):
+    """Where pages of links are the common case of a language and length, none is unlike the rest."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abdeglmnorstuv", k=6))
+    links = lambda: "\n".join(f"[{word()} and the {word()}](https://{word()}.example/{word()})" for _ in range(12))
+    prose = lambda: " ".join(rng.choices(SENTENCES, k=10))
+    df = spark.createDataFrame([(i, links() if i < 60 else prose(), "en") for i in range(100)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == list(range(60))
