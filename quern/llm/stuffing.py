@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import Scratch, spread
 
@@ -149,14 +149,26 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
     return bad / total if total else 0.0
 
 
-def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> DataFrame:
-    """(doc_id, page, language, n, types, slope, residual, divergence) per page with words.
+def _share(text: str) -> Column:
+    """The column of stuffed_share of a column of texts, none of them null."""
+
+    @F.pandas_udf("double")
+    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield t.map(stuffed_share).astype("float64")
+
+    return share(text)
+
+
+def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500, least_share: float = 0.5) -> DataFrame:
+    """(doc_id, page, language, prose, n, types, slope, residual, divergence) per page with words.
 
     ``language`` is that of which most function words occur, else the label's, else 'und'.
-    slope and residual are of ln(frequency) over ln(rank); divergence is the relative
-    entropy of the page's words against all pages of its language, over that language's
-    ``top_words`` commonest words and one class for the rest, so what is broadcast is
-    bounded by the languages times ``top_words``.
+    ``prose`` is false for pages that stuffed_pages finds with ``least_share``. slope and
+    residual are of ln(frequency) over ln(rank); divergence is the relative entropy of the
+    page's words against the prose of its language, over its ``top_words`` commonest words
+    and one class for the rest, so what is broadcast is bounded by the languages times
+    ``top_words``; without any prose of its language it is 0.
     """
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "")
     votes = [(code, F.size(F.array_intersect(F.col("__words"), F.array(*[F.lit(w) for w in sorted(set(ws.split()))])))) for code, ws in FUNCTION_WORDS.items()]
@@ -167,65 +179,54 @@ def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500) -> Data
     spark = docs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pages = docs.select("doc_id", "text", "lang").where("text is not null").repartition(tasks, "doc_id")
-    pages = pages.select("doc_id", F.xxhash64("text").alias("page"), "lang", words.alias("__words")).where(F.size("__words") > 0)
+    pages = pages.select("doc_id", F.xxhash64("text").alias("page"), "lang", (_share("text") <= least_share).alias("prose"), words.alias("__words")).where(F.size("__words") > 0)
     pages = pages.withColumn("__best", best).withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label))
     per = Window.partitionBy("doc_id", "page", "language")  # ties may rank either way: the curve is the same
-    counted = pages.select("doc_id", "page", "language", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "w").agg(F.count("*").alias("c"))
+    counted = pages.select("doc_id", "page", "language", "prose", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "prose", "w").agg(F.count("*").alias("c"))
     counts = scratch.keep(counted.withColumn("r", F.row_number().over(per.orderBy(F.col("c").desc()))), "words")
 
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("t").desc(), "w"))
-    corpus = counts.groupBy("language", "w").agg(F.sum("c").alias("t"))
+    corpus = counts.where("prose").groupBy("language", "w").agg(F.sum("c").alias("t"))
     sums = corpus.groupBy("language").agg(F.sum("t").alias("all"))
     known = corpus.withColumn("k", rank).where(F.col("k") <= top_words).join(sums, "language").select("language", "w", (F.col("t") / F.col("all")).alias("q"))
     rest = known.groupBy("language").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest"))
 
     x = counts.join(F.broadcast(known), ["language", "w"], "left").withColumn("__x", F.log("r")).withColumn("__y", F.log("c"))
-    fit = x.groupBy("doc_id", "page", "language").agg(
+    fit = x.groupBy("doc_id", "page", "language", "prose").agg(
         F.sum("c").alias("n"), F.count("*").alias("types"), F.regr_slope("__y", "__x").alias("slope"),
         F.regr_syy("__y", "__x").alias("__syy"), F.regr_sxy("__y", "__x").alias("__sxy"), F.regr_sxx("__y", "__x").alias("__sxx"),
         F.sum(F.when(F.col("q").isNotNull(), F.col("c") * F.log(F.col("c") / F.col("q")))).alias("__in"), F.sum(F.when(F.col("q").isNotNull(), F.col("c"))).alias("__nin"))
-    fit = fit.join(F.broadcast(rest), "language")
+    fit = fit.join(F.broadcast(rest), "language", "left")
     n_in = F.coalesce(F.col("__nin"), F.lit(0))
     out_ = F.col("n") - n_in
-    kl = (F.coalesce(F.col("__in"), F.lit(0.0)) + F.when(out_ > 0, out_ * F.log(out_ / F.col("q_rest"))).otherwise(0.0)) / F.col("n") - F.log("n")
+    kl = (F.coalesce(F.col("__in"), F.lit(0.0)) + F.when(out_ > 0, out_ * F.log(out_ / F.coalesce("q_rest", F.lit(1.0)))).otherwise(0.0)) / F.col("n") - F.log("n")
     return fit.select(
-        "doc_id", "page", "language", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"),
+        "doc_id", "page", "language", "prose", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"),
         F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.col("__syy") - F.when(F.col("__sxx") > 0, F.col("__sxy") * F.col("__sxy") / F.col("__sxx")).otherwise(0.0)) / F.col("types")), F.lit(0.0)).alias("residual"),
         kl.alias("divergence"))
 
 
 def flag_pages(curves: DataFrame, far: float = 0.25, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
     """Curves with ``flag``: 'divergence' if it lies more than ``far`` robust deviations
-    (1.48 times the median distance from the median) above that of pages of the same
+    (1.48 times the median distance from the median) above that of the prose of the same
     language and power of two of words, 'slope' or 'residual' if more than ``steep`` off;
     'short' for pages of fewer than ``short`` words, too few for a curve, and 'rare' where
-    fewer than ``few`` pages are there to compare; null for the rest."""
+    fewer than ``few`` pages of prose are there to compare; null for the rest. Only prose
+    is compared with, so the share of spam moves no threshold."""
     band = F.floor(F.log2("n")).cast("int")
     names = ("slope", "residual", "divergence")
     c = curves.withColumn("band", band)
-    mid = c.groupBy("language", "band").agg(F.count("*").alias("__pages"), *[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in names])
-    off = c.join(F.broadcast(mid), ["language", "band"])
-    mad = off.groupBy("language", "band").agg(*[(F.percentile_approx(F.abs(F.col(k) - F.col(f"m_{k}")), 0.5, 1000) * 1.48 + 1e-3).alias(f"d_{k}") for k in names])
-    z = off.join(F.broadcast(mad), ["language", "band"])
+    mid = c.where("prose").groupBy("language", "band").agg(F.count("*").alias("__pages"), *[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in names])
+    off = c.join(F.broadcast(mid), ["language", "band"], "left")
+    mad = off.where("prose").groupBy("language", "band").agg(*[(F.percentile_approx(F.abs(F.col(k) - F.col(f"m_{k}")), 0.5, 1000) * 1.48 + 1e-3).alias(f"d_{k}") for k in names])
+    z = off.join(F.broadcast(mad), ["language", "band"], "left")
     score = {k: (F.col(k) - F.col(f"m_{k}")) / F.col(f"d_{k}") for k in names}
     flag = (
-        F.when(F.col("n") < short, "short").when(F.col("__pages") < few, "rare").when(score["divergence"] > far, "divergence")
+        F.when(F.col("n") < short, "short").when(F.coalesce("__pages", F.lit(0)) < few, "rare").when(score["divergence"] > far, "divergence")
         .when(F.abs(score["slope"]) > steep, "slope").when(F.abs(score["residual"]) > steep, "residual"))
     return z.select("doc_id", "page", "language", "n", "types", "slope", "residual", "divergence", *[F.round(score[k], 4).alias(f"z_{k}") for k in names], flag.alias("flag"))
 
 
-def read_share(docs: DataFrame) -> DataFrame:
-    """(doc_id, page, share) of every page with a text, each read line by line."""
-
-    @F.pandas_udf("double")
-    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in batches:
-            yield t.map(stuffed_share).astype("float64")
-
-    texts = spread(docs.select("doc_id", "text"), scan=True).where("text is not null")
-    return texts.select("doc_id", F.xxhash64("text").alias("page"), share("text").alias("share"))
-
-
 def stuffed_pages(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
     """(doc_id, share) of pages more than ``least_share`` of whose words lie in repeated
     keywords, lists of links or of product tags.
@@ -235,4 +236,5 @@ def stuffed_pages(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
     Repeated rows of one id count once; an empty table gives no rows; columns other than
     doc_id and text aren't read.
     """
-    return read_share(docs).where(F.col("share") > least_share).select("doc_id", "share").distinct()
+    texts = spread(docs.select("doc_id", "text"), scan=True).where("text is not null")
+    return texts.select("doc_id", _share("text").alias("share")).where(F.col("share") > least_share).distinct()

@@ -273,3 +273,19 @@ def test_spam_among_spam_is_found(spark):
     prose = lambda: " ".join(rng.choices(SENTENCES, k=10))
     df = spark.createDataFrame([(i, links() if i < 60 else prose(), "en") for i in range(100)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == list(range(60))
+
+
+def test_spam_moves_no_yardstick(spark):
+    """Prose is as far from the prose of its kind whether or not most other pages are spam."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(SENTENCES, k=rng.randrange(8, 12))), "en") for i in range(40)]
+    spam = [(100 + i, "\n".join(f"the cheap lamp, {rng.choice('abcdef')} door, lamp, lamp" for _ in range(11)), "en") for i in range(80)]
+    spam += [(200 + i, SPAM["links"], "x") for i in range(40)]
+
+    def curves(data):
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        return {r.doc_id: r for r in flag_pages(page_curves(df, Scratch(spark)), few=10).collect()}
+
+    alone, among = curves(rows), curves(rows + spam)
+    assert [among[i] for i, _, _ in rows] == [alone[i] for i, _, _ in rows]
+    assert len(among) == 160 and all(among[i].flag for i, _, _ in spam)
