@@ -120,3 +120,17 @@ def descendants_of(hierarchy: DataFrame, nodes: DataFrame, node: str = "node") -
     a = asked.select(F.col("node").alias("ancestor"), F.col("root").alias("__r"), F.col("lft").alias("__l"), F.col("rgt").alias("__u"))
     b = hierarchy.where("not ring").select("node", "root", "lft")
     return b.join(a, (F.col("root") == F.col("__r")) & (F.col("lft") > F.col("__l")) & (F.col("lft") <= F.col("__u"))).select("ancestor", "node")
+
+
+def all_descendants(hierarchy: DataFrame) -> DataFrame:
+    """(node, root, descendant): every node of a tree with each node below it; nodes on or
+    under a ring have none.
+
+    A range is spelt out as its positions and each position is looked up within the root,
+    so the work is that of the pairs there are, and a large root's nodes aren't compared
+    with one another.
+    """
+    trees = hierarchy.where("not ring")
+    spots = trees.where("size > 1").select("node", "root", F.explode(F.sequence(F.col("lft") + 1, "rgt")).alias("__at"))
+    held = trees.select("root", F.col("lft").alias("__at"), F.col("node").alias("descendant"))
+    return spots.join(held, ["root", "__at"]).select("node", "root", "descendant")

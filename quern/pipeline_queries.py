@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators.hierarchy import build_hierarchy
+from .operators.hierarchy import all_descendants, build_hierarchy
 from .operators.orphans import orphan_report, reference_orphans
 from .operators.replay import replay, watermark
-from .runtime import read
+from .runtime import Scratch, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +39,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants per node as nested-set ranges; null for nodes on or under a ring."""
+    """How many descendants each node has, and its range's length; null for nodes on or under a ring."""
     return _hierarchy(spark, d).select("node", "root", (F.col("size") - 1).alias("descendants"), (F.col("rgt") - F.col("lft")).alias("span"), F.col("ring").cast("int").alias("ring"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_watermark, p2_committed, p4_found, p4_ranges)}
+def p4_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The nested-set ranges: b descends from a iff their roots are equal and a.lft < b.lft <= a.rgt."""
+    return _hierarchy(spark, d).where("not ring").select("node", "root", "lft", "rgt", "size")
+
+
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node, read off the ranges."""
+    h = Scratch(spark).keep(_hierarchy(spark, d).select("node", "root", "lft", "rgt", "size", "ring"), "ranges")
+    return all_descendants(h)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_watermark, p2_committed, p4_found, p4_ranges, p4_nested, p4_descendants)}
 
 _P1 = """
 WITH r AS (
@@ -120,4 +131,6 @@ sizes AS (SELECT a AS node, count(*) - 1 AS n FROM (SELECT unnest(seen) AS a FRO
 SELECT t.node, t.root, s.n AS descendants, s.n AS span, 0::INTEGER AS ring FROM tree t JOIN sizes s ON s.node = t.node
 UNION ALL
 SELECT node, list_min(seen[2:list_position(seen[2:], cur) + 1]), NULL, NULL, 1::INTEGER FROM done WHERE ring""",
+    "p4_descendants": _P4 + """
+SELECT a AS node, root, node AS descendant FROM (SELECT node, cur AS root, unnest(seen) AS a FROM done WHERE NOT ring) WHERE a <> node""",
 }

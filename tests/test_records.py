@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quern.operators.hierarchy import ancestors_of, build_hierarchy, descendants_of
+from quern.operators.hierarchy import all_descendants, ancestors_of, build_hierarchy, descendants_of
 from quern.operators.orphans import bloom_blocks, bloom_flag, find_orphans, reference_orphans
 from quern.operators.replay import replay, watermark
 
@@ -133,6 +133,15 @@ def test_hierarchy_random(spark):
     assert down == {n for n, r in tree.items() if n != 10 and "/10/" in f"/{r.path}/"}
 
 
+def test_all_descendants(spark, rows):
+    rng = random.Random(7)
+    data = [(i, rng.randrange(max(1, i - 4), i), 0) for i in range(2, 50)] + [(60, 61, 0), (61, 60, 0), (62, 60, 0), (70, 90, 0), (71, None, 0)]
+    h = build_hierarchy(links(spark, data), salts=2)
+    pairs = [(int(a), r.root, r.node) for r in h.where("not ring").collect() for a in r.path.split("/")[:-1]]
+    assert rows(all_descendants(h)) == sorted(pairs, key=repr) and pairs
+    assert all_descendants(build_hierarchy(links(spark, []))).count() == 0
+
+
 def test_hierarchy_deep_and_empty(spark):
     chain = [(i, i - 1, 0) for i in range(1, 300)]
     h = build_hierarchy(links(spark, chain))
