@@ -105,9 +105,10 @@ def build_hierarchy(
 
 
 def ancestors_of(hierarchy: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
-    """(node, ancestor, distance) for the stated nodes, by range containment within a root.
+    """(node, ancestor, distance) for the stated nodes, read off their paths.
 
-    The nodes asked for go along their own paths, so only real pairs are made."""
+    The ranges would say the same by containment within a root; a path names the
+    ancestors outright, so only real pairs are made."""
     asked = hierarchy.join(nodes.select(F.col(node).alias("__q")).distinct(), F.col("node") == F.col("__q"), "left_semi").where("not ring")
     up = asked.select("node", "depth", F.posexplode(F.split("path", "/")).alias("__d", "__a")).where("__d < depth")
     return up.select("node", F.col("__a").cast("long").alias("ancestor"), (F.col("depth") - F.col("__d")).alias("distance"))
