@@ -509,7 +509,7 @@ def references_of(spark, d):
 
 @_q()
 def syntax_line(spark, d):
-    return SY.syntax_line(read(spark, d, "source_file"), 1, 5)
+    return SY.syntax_line(read(spark, d, "source_file"))
 
 
 @_q("SELECT DISTINCT repository, path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'markdown' END AS language, model FROM indexed_text_unit WHERE path LIKE '%.md'")

@@ -96,3 +96,14 @@ def test_demand_agrees_with_full_evaluation(spark, rows):
     for target, b, kinds in (("Reach", [1, None], "long"), ("Reach", [7, 9], "long, long"), ("Free", [7, None], "long"), ("Reach", [None, 9], "long")):
         got = rows(ask(rs, r, target, b, spark, kinds, stats=stats))
         assert got == [t for t in rows(full[target]) if all(x is None or x == y for x, y in zip(b, t))]
+
+
+def test_syntax_line_reads_whole_texts(spark, tmp_path):
+    from quern.queries import syntax_line as query
+
+    text = "\n".join(f"let a{i} = {i};" for i in range(1, 9))
+    files = spark.createDataFrame([("r", "v", "a.rs", text)], "repository string, revision string, path string, text string")
+    files.write.parquet(f"{tmp_path}/source_file.parquet")
+    numbers = lambda df: sorted(r.number for r in df.collect())
+    assert numbers(query(spark, str(tmp_path))) == list(range(1, 9))
+    assert numbers(syntax.syntax_line(files, 2, 3)) == [2, 3, 4]
