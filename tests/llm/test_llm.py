@@ -289,3 +289,10 @@ def test_spam_moves_no_yardstick(spark):
     alone, among = curves(rows), curves(rows + spam)
     assert [among[i] for i, _, _ in rows] == [alone[i] for i, _, _ in rows]
     assert len(among) == 160 and all(among[i].flag for i, _, _ in spam)
+
+
+def test_spam_without_a_language_is_found(spark):
+    """Pages of links alone have no function words; 40 of them in one band are found like a single one."""
+    page = lambda i: "\n".join(f"https://lamp{i}x{k}.example/door{k}" for k in range(20))
+    df = spark.createDataFrame([(i, page(i), None) for i in range(40)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == list(range(40))
