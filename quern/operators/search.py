@@ -40,14 +40,17 @@ def search_terms(query: str) -> list[str]:
     return sorted({t.lower() for t in re.split(r"[^A-Za-z0-9_-]+", query) if t})
 
 
-def text_scope(path: Column) -> Column:
+#: The scopes of a text search, the first that fits counting: (name, pattern of the path).
+#: A parameter of text_search; what fits none is of the scope ``other``.
+SCOPES = (("tests", r"(^|/)(tests?|spec)/|[._-](test|spec)\.\w+$"), ("docs", r"(^|/)docs?/|\.(md|markdown|rst|txt)$"), ("code", r"\.\w+$"))
+
+
+def text_scope(path: Column, scopes: tuple[tuple[str, str], ...] = SCOPES) -> Column:
     """The scope that a path belongs to."""
-    under = lambda d: path.contains(f"/{d}/") | path.startswith(f"{d}/")
-    return (
-        F.when(path.startswith("sketches/"), "sketches").when(under("benches"), "benches")
-        .when(under("tests") | path.endswith("_test.rs"), "tests")
-        .when(path.endswith(".md") | path.endswith(".markdown") | path.startswith("docs/"), "docs").otherwise("code")
-    )
+    out = F.lit("other")
+    for name, pattern in reversed(scopes):
+        out = F.when(path.rlike(pattern), name).otherwise(out)
+    return out
 
 
 #: What a hit in each field scores, for the whole query and for each term.
@@ -56,19 +59,19 @@ TERM = {"path": 110, "title": 95, "text": 55, "kind": 20}
 FILE_EXACT, FILE_PART, SYMBOL_EXACT, SYMBOL_PART = 240, 180, 320, 190
 
 
-def text_search(units: DataFrame, query: str, limit: int, scope: str = "all", symbols: DataFrame | None = None) -> DataFrame:
+def text_search(units: DataFrame, query: str, limit: int, scope: str = "all", symbols: DataFrame | None = None, scopes: tuple[tuple[str, str], ...] = SCOPES) -> DataFrame:
     """(unit, score, path, start_line, end_line, kind, title, snippet) of the best units;
     start_line and end_line are both the line that matched.
 
     Scores add up over the whole query, its terms and overlapping symbols; units scoring 0
     drop out; order is by score, path, start line and unit. Symbols that match are few and
     found first, so they join as the small side; overlaps are summed per unit before
-    scoring. Null fields score nothing.
+    scoring. Null fields score nothing. A ``scope`` that ``scopes`` doesn't name is all units.
     """
     terms, whole = search_terms(query), query.lower()
     if not terms:
         return units.limit(0).select("unit", F.lit(0).cast("long").alias("score"), "path", "start_line", F.col("start_line").alias("end_line"), "kind", "title", F.lit("").alias("snippet"))
-    u = units if scope not in ("docs", "code", "tests", "benches", "sketches") else units.where(text_scope(F.col("path")) == scope)
+    u = units.where(text_scope(F.col("path"), scopes) == scope) if scope in dict(scopes) else units
     low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("path", "title", "text", "kind")}
     file_ = F.element_at(F.split(low["path"], "/"), -1)
     has = lambda col, part, points: F.when(col.contains(part), points).otherwise(0)

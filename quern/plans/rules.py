@@ -340,32 +340,13 @@ def _unite(parts: list[DataFrame]) -> DataFrame:
     return _cat(parts).distinct()
 
 
-def strata(rules: Iterable[Rule]) -> dict[str, int]:
-    """head -> stratum; a negation must reach a lower one."""
-    rules = list(rules)
-    level = {r.head.relation: 0 for r in rules}
-    for _ in range(len(level) + 1):
-        moved = False
-        for r in rules:
-            for b in r.body:
-                if isinstance(b, Atom) and b.relation in level:
-                    least = level[b.relation] + (1 if b.negated else 0)
-                    if level[r.head.relation] < least:
-                        level[r.head.relation] = least
-                        moved = True
-        if not moved:
-            return level
-    raise UnstratifiedNegation(", ".join(sorted(level)))
-
-
 def components(rules: Iterable[Rule]) -> list[set[str]]:
-    """Strongly connected heads, dependencies first (Tarjan, iterative by recursion depth
-    of the rule graph, which is the driver's)."""
+    """Strongly connected heads, dependencies first (Tarjan; the depth is that of the rule
+    graph, which is the driver's). A negation inside a component has no strata."""
     rules = list(rules)
-    level = strata(rules)
-    deps: dict[str, set[str]] = {h: set() for h in level}
+    deps: dict[str, set[str]] = {r.head.relation: set() for r in rules}
     for r in rules:
-        deps[r.head.relation] |= {b.relation for b in r.body if isinstance(b, Atom) and b.relation in level}
+        deps[r.head.relation] |= {b.relation for b in r.body if isinstance(b, Atom)} & set(deps)
     index: dict[str, int] = {}
     low: dict[str, int] = {}
     stack: list[str] = []
@@ -381,15 +362,28 @@ def components(rules: Iterable[Rule]) -> list[set[str]]:
             elif w in stack:
                 low[v] = min(low[v], index[w])
         if low[v] == index[v]:
-            group = set()
-            while True:
-                w = stack.pop()
-                group.add(w)
-                if w == v:
-                    break
-            out.append(group)
-
-    for v in sorted(level, key=lambda h: (level[h], h)):
+            at = stack.index(v)
+            out.append(set(stack[at:]))
+            del stack[at:]
+
+    for v in sorted(deps):
         if v not in index:
             visit(v)
+    home = {h: i for i, group in enumerate(out) for h in group}
+    for r in rules:
+        for b in r.body:
+            if isinstance(b, Atom) and b.negated and home.get(b.relation) == home[r.head.relation]:
+                raise UnstratifiedNegation(f"{r.head.relation} depends on the negation of {b.relation}, which depends on it")
     return out
+
+
+def strata(rules: Iterable[Rule]) -> dict[str, int]:
+    """head -> stratum, read off the condensation: a component lies on the highest stratum
+    it reads from, one above where it reads a negation."""
+    rules = list(rules)
+    level: dict[str, int] = {}
+    for group in components(rules):
+        reads = [b for r in rules if r.head.relation in group for b in r.body if isinstance(b, Atom) and b.relation not in group]
+        height = max((level.get(b.relation, 0) + (b.negated and b.relation in level) for b in reads), default=0)
+        level.update(dict.fromkeys(group, height))
+    return level
