@@ -12,7 +12,7 @@ from .docpairs import doc_pairs
 from .mixing import mix, mixture_report
 from .packing import pack, pack_report
 from .percentiles import clean_samples, day_sketch, merge_sketches, percentiles
-from .stuffing import flag_pages, page_curves, stuffed_pages
+from .stuffing import ELEMENT, FUNCTION_WORDS, MEASURES, ORDINARY, flag_pages, page_curves, stuffed_pages
 from .tokens import with_tokens
 
 
@@ -90,7 +90,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_curves(spark: SparkSession, d: str) -> DataFrame:
     """Every page's curve, its distance from pages of its kind, and its flag."""
-    return flag_pages(page_curves(read(spark, d, "documents"), Scratch(spark)))
+    curves = Scratch(spark).keep(page_curves(read(spark, d, "documents")), "curves", local=False)
+    flags = flag_pages(curves)
+    return flags.select("doc_id", "language", F.col("prose").cast("int").alias("prose"), "n", "types", *[F.round(m, 3).alias(m) for m in MEASURES], *[f"z_{m}" for m in MEASURES], "flag")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_pairs, p6_percentiles, p6_day_sketch, p6_combined, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_curves)}
@@ -104,7 +106,49 @@ _SAMPLES = " UNION ALL ".join(
 _RANKS = ", ".join(f"min(CASE WHEN r >= greatest(1, (n * {q} + 999) // 1000) THEN v END) AS {name}" for q, name in ((500, "p50"), (900, "p90"), (990, "p99"), (999, "p999")))
 _LOW = "((value >> greatest(0, length(bin(value)) - 8)) << greatest(0, length(bin(value)) - 8))"
 
+_FW = ", ".join(f"('{code}', '{w}')" for code, ws in FUNCTION_WORDS.items() for w in sorted(set(ws.split())))
+_FIT = ", ".join(f"regr_slope({m}, x) AS b_{m}, avg({m}) AS m_{m}, regr_syy({m}, x) AS s_{m}, regr_sxy({m}, x) AS c_{m}, regr_sxx({m}, x) AS x_{m}" for m in MEASURES)
+_ORD = ORDINARY.replace("'", "''")
+
+
+def _z(m: str) -> str:
+    g = lambda c: f"CASE WHEN l.pages >= 10 THEN l.{c}_{m} ELSE p.{c}_{m} END"
+    mx, n = "CASE WHEN l.pages >= 10 THEN l.mx ELSE p.mx END", "CASE WHEN l.pages >= 10 THEN l.pages ELSE p.pages END"
+    dev = f"sqrt(greatest(0, ({g('s')}) - coalesce(({g('c')}) * ({g('c')}) / nullif(({g('x')}), 0), 0)) / ({n})) + 1e-6"
+    return f"(v.{m} - ({g('m')}) - coalesce(({g('b')}), 0) * (v.x - ({mx}))) / ({dev}) AS z_{m}"
+
+
+_CURVES = f"""
+WITH fw(language, w) AS (VALUES {_FW}),
+d AS (SELECT doc_id, text, lower(lang) AS lang, regexp_extract_all(lower(translate(text, '123456789', '000000000')), '{ELEMENT}') AS e FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(e) AS w FROM d) GROUP BY ALL),
+b AS (SELECT doc_id, max(struct_pack(v := v, code := language, k := k)) AS b FROM (SELECT doc_id, language, count(*) AS v, sum(c) AS k FROM c JOIN fw USING (w) GROUP BY ALL) GROUP BY doc_id),
+m AS (SELECT doc_id, text, lang, b, greatest(1, len(regexp_extract_all(text, '\\p{{L}}+'))) AS words, length(text) - length(translate(text, '.!?', '')) AS stops, length(regexp_replace(text, '{_ORD}', '', 'g')) AS odd
+      FROM d LEFT JOIN b USING (doc_id)),
+pg AS (SELECT doc_id, CASE WHEN b.v > 1 THEN b.code WHEN lang IN ({", ".join(f"'{x}'" for x in FUNCTION_WORDS)}) THEN lang ELSE 'und' END AS language, regexp_matches(text, '\\p{{L}}') AS lettered,
+         coalesce(b.v > 1 AND b.k * 5 >= words AND stops * 30 >= words AND stops * 3 <= words AND odd * 20 <= words, FALSE) AS prose FROM m),
+t AS (SELECT language, w, sum(c) AS t FROM c JOIN pg USING (doc_id) WHERE prose GROUP BY ALL),
+corpus AS (SELECT * FROM t UNION ALL SELECT 'und', w, sum(t) FROM t GROUP BY w),
+known AS (SELECT language AS yard, w, t / sum_t AS q FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY t DESC, w) AS k, sum(t) OVER (PARTITION BY language) AS sum_t FROM corpus) WHERE k <= 500),
+rest AS (SELECT yard, greatest(1 - sum(q), 1e-6) AS q_rest FROM known GROUP BY yard),
+pg2 AS (SELECT *, CASE WHEN language IN (SELECT yard FROM rest) THEN language ELSE 'und' END AS yard FROM pg WHERE lettered),
+held AS (SELECT doc_id, yard, c, q FROM c JOIN pg2 USING (doc_id) LEFT JOIN known USING (yard, w)),
+pt AS (SELECT doc_id, yard, c, count(*) AS m, sum(c * ln(c / q)) AS inn, count(q) AS kn FROM held GROUP BY ALL),
+px AS (SELECT *, ln(sum(m) OVER (PARTITION BY doc_id ORDER BY c DESC)) AS x, ln(c) AS y FROM pt),
+f AS (SELECT doc_id, yard, sum(c * m) AS n, sum(m) AS types, count(*) AS points, regr_slope(y, x) AS slope, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx,
+        coalesce(sum(inn), 0) AS inn, sum(c * (m - kn)) AS outt FROM px GROUP BY ALL),
+v AS (SELECT pg2.doc_id, language, prose, n, types, ln(n) AS x, CASE WHEN points > 1 THEN coalesce(slope, 0) ELSE 0 END AS slope,
+        coalesce(sqrt(greatest(0, syy - CASE WHEN sxx > 0 THEN sxy * sxy / sxx ELSE 0 END) / points), 0) AS residual,
+        (inn + CASE WHEN outt > 0 THEN outt * ln(outt / coalesce(q_rest, 1.0)) ELSE 0 END) / n - ln(n) AS divergence
+      FROM f JOIN pg2 USING (doc_id) LEFT JOIN rest ON rest.yard = f.yard),
+l AS (SELECT language, count(*) AS pages, avg(x) AS mx, {_FIT} FROM v WHERE prose GROUP BY language),
+p AS (SELECT count(*) AS pages, avg(x) AS mx, {_FIT} FROM v WHERE prose),
+z AS (SELECT v.*, {", ".join(map(_z, MEASURES))} FROM v LEFT JOIN l ON l.language = v.language, p)
+SELECT doc_id, language, prose::INTEGER AS prose, n::BIGINT AS n, types::BIGINT AS types, {", ".join(f"round({m}, 3) AS {m}" for m in MEASURES)}, {", ".join(f"round(z_{m}, 3) AS z_{m}" for m in MEASURES)},
+  CASE WHEN abs(z_divergence) > 2 THEN 'divergence' WHEN abs(z_slope) > 3 THEN 'slope' WHEN abs(z_residual) > 3 THEN 'residual' END AS flag FROM z"""
+
 ORACLES = {
+    "p9_curves": _CURVES,
     "p3_found": """
 SELECT DISTINCT unit, ordinal, (CASE WHEN list_max(list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: length(x))) > 2000 THEN 1 ELSE 0 END)::INTEGER AS hard
 FROM indexed_text_unit WHERE length(text) > 2000""",

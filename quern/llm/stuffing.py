@@ -1,9 +1,9 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Each page's words by rank give a curve; SQL windows fit its slope and residual and take
-its divergence from the prose of its language, and flag_pages marks those that lie far from
-pages of the same language and a comparable length. Which pages are spam doesn't hang on
-the flags: every page is read line by line.
+Each page's words and marks by rank give a curve. SQL windows fit its slope and residual
+and take its divergence from the prose of its language; a page far from what prose of its
+length shows is flagged, and only flagged pages are read line by line, to measure which
+share of their words is lists and stuffing and which is sentences.
 """
 
 from __future__ import annotations
@@ -25,20 +25,19 @@ FUNCTION_WORDS = {
     "es": "el los las una un y es en de con por para del al la lo no sin su si que cuando hay entre nadie",
 }
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
-
-_URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b(?:/\S*)?", re.I)
-_URL_HINT = re.compile(r"\.(?:invalid|test|example|com|org|net|info|io|de|fr|es)\b", re.I)
-_CODE_HINT = re.compile(r"[{};(<>=]")
-_MARKED = re.compile(r"[{}();<>=#|»]| / ")
-_ANCHOR = re.compile(r"</?a\b[^>]*>", re.I)
-_FACT = re.compile(r"^\s*(?:v?\d+[.:)]?\s*)?[+-]?\s*[A-Za-z_]\w*\([^()]*\)[.;]?\s*$")
-_CODE = re.compile(r"[{};]\s*$|\w\(.*\)|[=<>]=|:=|\s[=<]\s|=>|->|^\s*(?:if|while|for)\b[^,.]*>")
-_CODE_HEAD = re.compile(r"^\s*(?:let|return|if|end|assert|retract|verb|fn|def|const|import|else|for|while|emit)\b")
-_LABEL = re.compile(r"^[^\W\d_]+: ")
-_TAG_LABEL = re.compile(r"(?i)(?:tag|keyword|schlag|mots|etiq|palabra)")
-_ITEM = re.compile(r"\s*[,;|·•]\s*|\s+[-–—/>»]\s+")
+#: A page's elements: runs of letters, runs of digits (all read as noughts), single marks, line ends.
+ELEMENT = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]|\n"
+#: What prose is made of besides its marks for lists, markup and code.
+ORDINARY = r"[\p{L}\p{N}\s.,;:!?'’\"()-]+"
+
+_URL = re.compile(r"(?:\b[a-z][a-z+.-]*://|\bwww\.)[^\s<>\"')\]]+|\b(?:[^\W_][\w-]*\.)+[a-z]{2,}/[^\s<>\"')\]]*", re.I)
+_MARKUP = re.compile(r"<[^<>]*>|[\[\]()]")
+_CODE = re.compile(r"[{};]\s*$|\w\(.*\)|[=<>]=|:=|\s[=<]\s|=>|->|^\s*\S+ .*[^\s>] > \d")
+_LABEL = re.compile(r"^[^\W\d_][\w ]{0,30}: ")
+_ITEM = re.compile(r"\s*[,;|·•#]\s*|\s+[-–—/>»]\s+")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _INNER_STOP = re.compile(r"[^\W\d_]{2}[.!?](?:\s|$)")
+_HEADING = re.compile(r"#+ ")
 
 
 class _Letters(dict):
@@ -57,16 +56,18 @@ def _words(text: str) -> list[str]:
     return [w for w in text.translate(_LETTERS).split() if not w.isdigit()]
 
 
-def line_kind(line: str) -> tuple[str, int, list[str]]:
-    """(kind, words, the words outside URLs in lower case); a URL is one word. Kinds: link,
-    tags, keywords, prose, code, head (it could start a line of code) and other."""
-    s = line.strip()
-    if s.startswith("|") and s.endswith("|"):
+def line_kind(s: str) -> tuple[str, int, list[str]]:
+    """(kind, words, the words outside URLs in lower case) of a line without outer space; a
+    URL is one word. Kinds: link (URLs with little said about them), list (short items, or
+    words without the function words of a sentence), short (up to three such words), prose,
+    code and other (table rows, headings, labelled lines)."""
+    if s[0] == "|" and s[-1] == "|":
         return "other", len(_words(s)), []
     urls, rest = [], s
-    if "://" in s or "www." in s.lower() or _URL_HINT.search(s):
+    if "/" in s or "www." in s:
         urls = _URL.findall(s)
-        rest = _ANCHOR.sub(" ", _URL.sub(" ", s))
+        if urls:
+            rest = _MARKUP.sub(" ", _URL.sub(" ", s))
     words = _words(rest.lower())
     function, n = sum(map(FUNCTION.__contains__, words)), len(words) + len(urls)
     if urls:
@@ -75,25 +76,20 @@ def line_kind(line: str) -> tuple[str, int, list[str]]:
         return ("prose" if function >= 0.1 * len(words) else "link"), n, words
     if not words:
         return "other", 0, words
-    if len(words) > 3 and s[-1] in ".!?" and not _MARKED.search(s) and s[:3].lower() not in ("sku", "art", "ref"):
-        return "prose", n, words  # the usual case, without the looks at other kinds
-    coded = _CODE_HINT.search(s)
-    if coded and (_FACT.match(s) or _CODE.search(s)):
+    if _CODE.search(s):
         return "code", n, words
-    if len(words) <= 3 and _CODE_HEAD.match(s):
-        return "head", n, words
-    if re.match(r"(?i)(?:sku|art|ref)\b\.? ?\d", s) or ("#" in s and len(re.findall(r"#\w", s)) >= 2) or len(re.findall(r"\s[>|»/]\s", s)) >= 2:
-        return "tags", n, words
-    if s[0] == "#" and re.match(r"#+ ", s):
+    if _HEADING.match(s):
         return "other", n, words
     if _STOP.search(s):
         return ("prose" if len(words) > 2 else "other"), n, words
-    if _LABEL.match(s) and not _TAG_LABEL.match(s) and "," not in s:
+    if sum(1 for x in _ITEM.split(s) if x) >= max(4, len(words) / 4) and not _INNER_STOP.search(s):
+        return "list", n, words
+    if _LABEL.match(s):
         return ("other" if function <= 0.08 * len(words) else "prose"), n, words
-    if len([x for x in _ITEM.split(s) if x]) >= max(5, len(words) / 4) and not _INNER_STOP.search(s):
-        return "keywords", n, words  # a list of short items
     # Short lines without a stop may hold a function word or so, as in "not dear".
-    return ("keywords" if function <= (0.34 if len(words) <= 6 and s[-1] not in ",;:" else 0.08) * len(words) else "prose"), n, words
+    if function > (0.34 if len(words) <= 6 and s[-1] not in ",;:" else 0.08) * len(words):
+        return "prose", n, words
+    return ("short" if len(words) <= 3 else "list"), n, words
 
 
 def concentration(words: list[str]) -> float:
@@ -106,9 +102,10 @@ def concentration(words: list[str]) -> float:
 
 
 def stuffed_share(text: str, dense: float = 0.3) -> float:
-    """The share of a page's words in link, tag and keyword lines and in prose of at least
-    20 words of which two words make up ``dense``. Fenced code counts as neither."""
-    total = bad = heads = coded = lines = 0
+    """The share of a page's words in links, lists and in prose of at least 20 words of
+    which two words make up ``dense``. Fenced code counts as neither; short lines are items
+    of a list, or, where a tenth of the lines is code, parts of that."""
+    total = bad = short = coded = lines = 0
     fenced = False
     held: list[str] = []
 
@@ -128,7 +125,7 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
         elif not s:
             flush()
         else:
-            kind, n, words = line_kind(line)
+            kind, n, words = line_kind(s)
             lines += 1
             if kind == "prose":
                 total += len(words)
@@ -140,12 +137,12 @@ def stuffed_share(text: str, dense: float = 0.3) -> float:
             else:
                 flush()
                 total += n
-                bad += n if kind in ("link", "tags", "keywords") else 0
-                heads += n if kind == "head" and len(words) > 1 else 0
+                bad += n if kind in ("link", "list") else 0
+                short += n if kind == "short" else 0
                 coded += kind == "code"
     flush()
-    if coded < 0.1 * lines:  # no code on the page, so what looked like its heads are keywords
-        bad += heads
+    if coded < 0.1 * lines:
+        bad += short
     return bad / total if total else 0.0
 
 
@@ -155,86 +152,127 @@ def _share(text: str) -> Column:
     @F.pandas_udf("double")
     def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in batches:
-            yield t.map(stuffed_share).astype("float64")
+            yield pd.Series([stuffed_share(x) for x in t], dtype="float64")
 
     return share(text)
 
 
-def page_curves(docs: DataFrame, scratch: Scratch, top_words: int = 500, least_share: float = 0.5) -> DataFrame:
-    """(doc_id, page, language, prose, n, types, slope, residual, divergence) per page with words.
+def _elements(pages: DataFrame) -> DataFrame:
+    """Adds ``e`` (the elements in order), ``language`` and ``prose``.
 
     ``language`` is that of which most function words occur, else the label's, else 'und'.
-    ``prose`` is false for pages that stuffed_pages finds with ``least_share``. slope and
-    residual are of ln(frequency) over ln(rank); divergence is the relative entropy of the
-    page's words against the prose of its language, over its ``top_words`` commonest words
-    and one class for the rest, so what is broadcast is bounded by the languages times
-    ``top_words``; without any prose of its language it is 0.
-    """
-    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "")
-    votes = [(code, F.size(F.array_intersect(F.col("__words"), F.array(*[F.lit(w) for w in sorted(set(ws.split()))])))) for code, ws in FUNCTION_WORDS.items()]
-    best = F.greatest(*[F.struct(v.alias("v"), F.lit(code).alias("code")) for code, v in votes])
+    A page is ``prose`` by its own make-up, whatever others are like: a fifth of its words
+    are function words of its language, every thirtieth to every third word is followed by
+    a stop, and marks that prose doesn't need are rarer than one in twenty words."""
+    low = F.lower(F.translate("text", "123456789", "000000000"))
+    x = pages.withColumn("e", F.regexp_extract_all(low, F.lit(ELEMENT), F.lit(0))).withColumn("__fn", F.filter("e", lambda w: w.isin(*sorted(FUNCTION))))
+    sets = {code: sorted(set(ws.split())) for code, ws in FUNCTION_WORDS.items()}
+    among = lambda ws: lambda w: w.isin(*ws)
+    types = [F.struct(F.size(F.array_intersect("__fn", F.array(*map(F.lit, ws)))).alias("v"), F.lit(code).alias("code"), F.size(F.filter("__fn", among(ws))).alias("k")) for code, ws in sets.items()]
+    x = x.withColumn("__best", F.greatest(*types))
     label = F.when(F.lower("lang").isin(*FUNCTION_WORDS), F.lower("lang")).otherwise("und")
-    # Pages are dealt out by id once; counting and ranking a page's words then stay in its
-    # task, and what later steps sum per page or language combines before it is shuffled.
-    spark = docs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pages = docs.select("doc_id", "text", "lang").where("text is not null").repartition(tasks, "doc_id")
-    pages = pages.select("doc_id", F.xxhash64("text").alias("page"), "lang", (_share("text") <= least_share).alias("prose"), words.alias("__words")).where(F.size("__words") > 0)
-    pages = pages.withColumn("__best", best).withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label))
-    per = Window.partitionBy("doc_id", "page", "language")  # ties may rank either way: the curve is the same
-    counted = pages.select("doc_id", "page", "language", "prose", F.explode("__words").alias("w")).groupBy("doc_id", "page", "language", "prose", "w").agg(F.count("*").alias("c"))
-    counts = scratch.keep(counted.withColumn("r", F.row_number().over(per.orderBy(F.col("c").desc()))), "words")
-
+    words = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\p{L}+")))
+    stops = F.length("text") - F.length(F.translate("text", ".!?", ""))
+    odd = F.length(F.regexp_replace("text", ORDINARY, ""))
+    prose = (F.col("__best.v") > 1) & (F.col("__best.k") * 5 >= words) & (stops * 30 >= words) & (stops * 3 <= words) & (odd * 20 <= words)
+    return x.withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label)).withColumn("prose", prose)
+
+
+def page_curves(docs: DataFrame, top: int = 500, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, page, language, prose, n, types, slope, residual, divergence) per page with letters.
+
+    n and types count the page's elements. slope and residual are of ln(frequency) over
+    ln(rank), a point per frequency, the rank being how many types are as frequent or more,
+    so ties don't matter. divergence is the relative entropy of the page's elements against
+    the prose of its language, over its ``top`` commonest elements and one class for the
+    rest; a language without prose is held against the prose of all. What is broadcast is
+    ``top`` rows a language. ``page`` is the text's hash: an id with several texts has a
+    curve for each, repeated rows have one.
+
+    The texts are read twice: once for the prose's counts, which combine before their
+    shuffle, and once dealt out by doc_id, after which a page is counted, ranked and fitted
+    in one task. Only the prose's counts, a row per language and element, are written."""
+    s = scratch or Scratch(docs.sparkSession)
+    texts = docs.select("doc_id", "text", "lang").where("text is not null")
+    # Not a filter on prose: that would be pushed below and work the elements out once more.
+    counts = s.keep(_elements(spread(texts, scan=True)).select("language", F.explode(F.when(F.col("prose"), F.col("e"))).alias("w")).groupBy("language", "w").agg(F.count("*").alias("t")), "counts", local=False)
+    every = counts.groupBy("w").agg(F.sum("t").alias("t")).select(F.lit("und").alias("language"), "w", "t")
+    corpus = counts.unionByName(every)
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("t").desc(), "w"))
-    corpus = counts.where("prose").groupBy("language", "w").agg(F.sum("c").alias("t"))
     sums = corpus.groupBy("language").agg(F.sum("t").alias("all"))
-    known = corpus.withColumn("k", rank).where(F.col("k") <= top_words).join(sums, "language").select("language", "w", (F.col("t") / F.col("all")).alias("q"))
-    rest = known.groupBy("language").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest"))
+    known = corpus.withColumn("k", rank).where(F.col("k") <= top).join(F.broadcast(sums), "language").select("language", "w", (F.col("t") / F.col("all")).alias("q"))
+    known = s.keep(known, "known")
+    rest = known.groupBy("language").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest")).select(F.col("language").alias("yard"), "q_rest")
 
-    x = counts.join(F.broadcast(known), ["language", "w"], "left").withColumn("__x", F.log("r")).withColumn("__y", F.log("c"))
-    fit = x.groupBy("doc_id", "page", "language", "prose").agg(
-        F.sum("c").alias("n"), F.count("*").alias("types"), F.regr_slope("__y", "__x").alias("slope"),
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = texts.repartition(tasks, "doc_id").withColumn("__row", F.monotonically_increasing_id()).withColumn("page", F.xxhash64("text"))
+    pages = _elements(rows).where(F.regexp_like("text", F.lit(r"\p{L}"))).join(F.broadcast(rest.select(F.col("yard").alias("language"), F.lit(True).alias("__own"))), "language", "left")
+    pages = pages.withColumn("yard", F.when(F.col("__own"), F.col("language")).otherwise("und"))
+    key = ["doc_id", "__row", "page", "language", "prose", "yard"]
+    held = pages.select(*key, F.explode("e").alias("w")).groupBy(*key, "w").agg(F.count("*").alias("c"))
+    held = held.join(F.broadcast(known.select(F.col("language").alias("yard"), "w", "q")), ["yard", "w"], "left")
+    by_count = held.groupBy(*key, "c").agg(
+        F.count("*").alias("m"), F.sum(F.when(F.col("q").isNotNull(), F.col("c") * F.log(F.col("c") / F.col("q")))).alias("__in"), F.count("q").alias("__known"))
+    at_least = F.sum("m").over(Window.partitionBy(*key).orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    points = by_count.withColumn("__x", F.log(at_least)).withColumn("__y", F.log("c"))
+    fit = points.groupBy(*key).agg(
+        F.sum(F.col("c") * F.col("m")).alias("n"), F.sum("m").alias("types"), F.count("*").alias("__points"), F.regr_slope("__y", "__x").alias("slope"),
         F.regr_syy("__y", "__x").alias("__syy"), F.regr_sxy("__y", "__x").alias("__sxy"), F.regr_sxx("__y", "__x").alias("__sxx"),
-        F.sum(F.when(F.col("q").isNotNull(), F.col("c") * F.log(F.col("c") / F.col("q")))).alias("__in"), F.sum(F.when(F.col("q").isNotNull(), F.col("c"))).alias("__nin"))
-    fit = fit.join(F.broadcast(rest), "language", "left")
-    n_in = F.coalesce(F.col("__nin"), F.lit(0))
-    out_ = F.col("n") - n_in
-    kl = (F.coalesce(F.col("__in"), F.lit(0.0)) + F.when(out_ > 0, out_ * F.log(out_ / F.coalesce("q_rest", F.lit(1.0)))).otherwise(0.0)) / F.col("n") - F.log("n")
-    return fit.select(
-        "doc_id", "page", "language", "prose", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.col("__syy") - F.when(F.col("__sxx") > 0, F.col("__sxy") * F.col("__sxy") / F.col("__sxx")).otherwise(0.0)) / F.col("types")), F.lit(0.0)).alias("residual"),
-        kl.alias("divergence"))
-
-
-def flag_pages(curves: DataFrame, far: float = 0.25, steep: float = 2.0, short: int = 40, few: int = 30) -> DataFrame:
-    """Curves with ``flag``: 'divergence' if it lies more than ``far`` robust deviations
-    (1.48 times the median distance from the median) above that of the prose of the same
-    language and power of two of words, 'slope' or 'residual' if more than ``steep`` off;
-    'short' for pages of fewer than ``short`` words, too few for a curve, and 'rare' where
-    fewer than ``few`` pages of prose are there to compare; null for the rest. Only prose
-    is compared with, so the share of spam moves no threshold."""
-    band = F.floor(F.log2("n")).cast("int")
-    names = ("slope", "residual", "divergence")
-    c = curves.withColumn("band", band)
-    mid = c.where("prose").groupBy("language", "band").agg(F.count("*").alias("__pages"), *[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in names])
-    off = c.join(F.broadcast(mid), ["language", "band"], "left")
-    mad = off.where("prose").groupBy("language", "band").agg(*[(F.percentile_approx(F.abs(F.col(k) - F.col(f"m_{k}")), 0.5, 1000) * 1.48 + 1e-3).alias(f"d_{k}") for k in names])
-    z = off.join(F.broadcast(mad), ["language", "band"], "left")
-    score = {k: (F.col(k) - F.col(f"m_{k}")) / F.col(f"d_{k}") for k in names}
-    flag = (
-        F.when(F.col("n") < short, "short").when(F.coalesce("__pages", F.lit(0)) < few, "rare").when(score["divergence"] > far, "divergence")
-        .when(F.abs(score["slope"]) > steep, "slope").when(F.abs(score["residual"]) > steep, "residual"))
-    return z.select("doc_id", "page", "language", "n", "types", "slope", "residual", "divergence", *[F.round(score[k], 4).alias(f"z_{k}") for k in names], flag.alias("flag"))
-
-
-def stuffed_pages(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """(doc_id, share) of pages more than ``least_share`` of whose words lie in repeated
-    keywords, lists of links or of product tags.
-
-    Every page is read whole and judged by itself: no curve, language or other page
-    decides what is read. Null and empty texts and texts without letters are no cases.
-    Repeated rows of one id count once; an empty table gives no rows; columns other than
-    doc_id and text aren't read.
+        F.sum("__in").alias("__in"), F.sum(F.col("c") * (F.col("m") - F.col("__known"))).alias("__out"))
+    fit = fit.join(F.broadcast(rest), "yard", "left")
+    outside = F.when(F.col("__out") > 0, F.col("__out") * F.log(F.col("__out") / F.coalesce("q_rest", F.lit(1.0)))).otherwise(0.0)
+    kl = (F.coalesce("__in", F.lit(0.0)) + outside) / F.col("n") - F.log("n")
+    off = F.greatest(F.lit(0.0), F.col("__syy") - F.when(F.col("__sxx") > 0, F.col("__sxy") * F.col("__sxy") / F.col("__sxx")).otherwise(0.0))
+    out = fit.select("doc_id", "page", "language", "prose", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(off / F.col("__points")), F.lit(0.0)).alias("residual"), kl.alias("divergence"))
+    return out.groupBy("doc_id", "page").agg(*[F.first(c).alias(c) for c in out.columns[2:]])
+
+
+MEASURES = ("slope", "residual", "divergence")
+
+
+def flag_pages(curves: DataFrame, far: float = 2.0, steep: float = 3.0, least: int = 10) -> DataFrame:
+    """Curves with z_slope, z_residual, z_divergence and ``flag``: 'divergence' for pages more
+    than ``far`` deviations off prose of their language and length (above: words and marks
+    that prose has not; below: little but its commonest), 'slope' or 'residual' for those
+    more than ``steep`` off, null for the rest.
+
+    What prose of a length shows is a straight line over ln(n), fitted per language to its
+    pages of prose alone, with the deviation from it, so no other page and no number of
+    pages moves a threshold. A language with fewer than ``least`` pages of prose has no
+    line of its own and is held against that of all languages; without any prose at all
+    every page is flagged 'unmeasured'."""
+    x = F.log("n")
+    prose = curves.where("prose").select("language", x.alias("__x"), *MEASURES)
+    fits = [F.count("*").alias("__pages")] + [a for m in MEASURES for a in (
+        F.regr_slope(m, "__x").alias(f"b_{m}"), F.avg(m).alias(f"m_{m}"), F.regr_syy(m, "__x").alias(f"s_{m}"), F.regr_sxy(m, "__x").alias(f"c_{m}"), F.regr_sxx(m, "__x").alias(f"x_{m}"))]
+    lines = prose.groupBy("language").agg(*fits, F.avg("__x").alias("__mx")).where(F.col("__pages") >= least)
+    pool = prose.agg(*fits, F.avg("__x").alias("__mx")).where("__pages > 0")  # one row
+    own = curves.join(F.broadcast(lines), "language", "left")
+    names = [c for c in lines.columns if c != "language"]
+    own = own.join(F.broadcast(pool.select(*[F.col(c).alias(f"p{c}") for c in names], F.lit(True).alias("__any"))), F.lit(True), "left")
+    got = lambda c: F.when(F.col("__pages").isNotNull(), F.col(c)).otherwise(F.col(f"p{c}"))
+    out = own
+    for m in MEASURES:
+        sd = F.sqrt(F.greatest(F.lit(0.0), got(f"s_{m}") - F.coalesce(got(f"c_{m}") * got(f"c_{m}") / F.nullif(got(f"x_{m}"), F.lit(0.0)), F.lit(0.0))) / got("__pages")) + 1e-6
+        out = out.withColumn(f"z_{m}", (F.col(m) - got(f"m_{m}") - F.coalesce(got(f"b_{m}"), F.lit(0.0)) * (x - got("__mx"))) / sd)
+    flag = (F.when(F.col("__any").isNull(), "unmeasured").when(F.abs("z_divergence") > far, "divergence")
+            .when(F.abs("z_slope") > steep, "slope").when(F.abs("z_residual") > steep, "residual"))
+    return out.select(*curves.columns, *[F.round(f"z_{m}", 3).alias(f"z_{m}") for m in MEASURES], flag.alias("flag"))
+
+
+def stuffed_pages(docs: DataFrame, least_share: float = 0.5, scratch: Scratch | None = None, **flags) -> DataFrame:
+    """(doc_id, share, flag) of flagged pages more than ``least_share`` of whose words lie in
+    repeated keywords, lists of links or of tags.
+
+    The curves decide which pages are read (flag_pages takes ``flags``); those are read
+    whole. Null and empty texts and texts without letters are no cases. Repeated rows of
+    one id count once, an id with several texts by each; an empty table gives no rows;
+    columns other than doc_id, text and lang aren't read.
     """
-    texts = spread(docs.select("doc_id", "text"), scan=True).where("text is not null")
-    return texts.select("doc_id", _share("text").alias("share")).where(F.col("share") > least_share).distinct()
+    s = scratch or Scratch(docs.sparkSession)
+    curves = s.keep(page_curves(docs, scratch=s), "curves", local=False)
+    flagged = flag_pages(curves, **flags).where("flag is not null").select("doc_id", "page", "flag")
+    texts = docs.select("doc_id", "text").where("text is not null").withColumn("page", F.xxhash64("text"))
+    read = texts.join(flagged, ["doc_id", "page"]).select("doc_id", "flag", _share("text").alias("share"))
+    return read.where(F.col("share") > least_share).select("doc_id", "share", "flag").distinct()

@@ -1,5 +1,6 @@
 """Problems 3 and 5 to 9 on small cases: nulls, ties, repeats, empty tables, long texts, extra columns."""
 
+import os
 import random
 
 import numpy as np
@@ -250,19 +251,37 @@ def test_shares():
     assert stuffed_share("") == stuffed_share("...\n\n") == 0.0 and concentration([]) == 0.0
 
 
+def prose(rng, k=None):
+    """Sentences of many shapes, so that prose has a spread."""
+    word = lambda: rng.choice(("lamp", "door", "key", "tower", "harbour", "rope", "kettle", "cart", "oar", "bell", "mill", "barn"))
+    shapes = ("The {} stands near the {}.", "It rains, and the {} is quiet.", "Who keeps the {} of the {}?", "Every {} has one {}; two have none.", "We do not know if the {} was here before the {}.", "They had a {} and no {} at all.")
+    return " ".join(rng.choice(shapes).format(word(), word()) for _ in range(k or rng.randrange(3, 30)))
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(6)
-    docs = [(i, " ".join(rng.choices(SENTENCES, k=rng.randrange(3, 9))), rng.choice(["en", None, "fr", "x"])) for i in range(60)]
+    docs = [(i, prose(rng), rng.choice(["en", None, "fr", "x"])) for i in range(80)]
     docs += [(100 + i, t, "en") for i, t in enumerate(SPAM.values())] + [(200 + i, t, None) for i, t in enumerate(FINE.values())]
     docs += [(300, None, "en"), (301, "", "en"), (302, "123 456", "en"), (100, SPAM["links"], "en"), (303, SPAM["stuffed"] * 300, "en")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("page", F.lit(1)).withColumn("share", F.lit(2.0))
-    got = [r.doc_id for r in stuffed_pages(df).collect()]
-    assert sorted(got) == [100, 101, 102, 103, 104, 303]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("page", F.lit(1)).withColumn("share", F.lit(2.0)).withColumn("e", F.lit(3))
+    got = stuffed_pages(df).collect()
+    assert sorted(r.doc_id for r in got) == [100, 101, 102, 103, 104, 303] and all(r.flag for r in got)
     assert stuffed_pages(df.limit(0)).count() == 0
-    curves = page_curves(df, Scratch(spark))
+    curves = page_curves(df)
+    assert {r.doc_id for r in curves.collect()} == {r[0] for r in docs} - {300, 301, 302}
     steep = {r.doc_id: r.slope for r in curves.collect()}
     assert steep[303] < steep[200] < 0
-    assert flag_pages(curves).where("flag is not null").count() >= 6
+    only_spam = df.where("doc_id between 100 and 104")  # no prose to measure against: everything is read
+    assert {r.flag for r in stuffed_pages(only_spam.where("doc_id <> 103")).collect()} == {"unmeasured"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_curves_lose_no_page(spark):
+    """The pages that the curves flag hold every page that reading them all would find."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    read = docs.where("text is not null").select("doc_id", "text").toPandas()
+    every = {d for d, t in zip(read.doc_id, read.text) if stuffed_share(t) > 0.5}
+    assert {r.doc_id for r in stuffed_pages(docs).collect()} == every and len(every) > 20
 
 
 def test_spam_among_spam_is_found(spark):
@@ -270,21 +289,20 @@ def test_spam_among_spam_is_found(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abdeglmnorstuv", k=6))
     links = lambda: "\n".join(f"[{word()} and the {word()}](https://{word()}.example/{word()})" for _ in range(12))
-    prose = lambda: " ".join(rng.choices(SENTENCES, k=10))
-    df = spark.createDataFrame([(i, links() if i < 60 else prose(), "en") for i in range(100)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(i, links() if i < 60 else prose(rng), "en") for i in range(100)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == list(range(60))
 
 
 def test_spam_moves_no_yardstick(spark):
     """Prose is as far from the prose of its kind whether or not most other pages are spam."""
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choices(SENTENCES, k=rng.randrange(8, 12))), "en") for i in range(40)]
+    rows = [(i, prose(rng), "en") for i in range(40)]
     spam = [(100 + i, "\n".join(f"the cheap lamp, {rng.choice('abcdef')} door, lamp, lamp" for _ in range(11)), "en") for i in range(80)]
     spam += [(200 + i, SPAM["links"], "x") for i in range(40)]
 
     def curves(data):
         df = spark.createDataFrame(data, "doc_id long, text string, lang string")
-        return {r.doc_id: r for r in flag_pages(page_curves(df, Scratch(spark)), few=10).collect()}
+        return {r.doc_id: r for r in flag_pages(page_curves(df)).collect()}
 
     alone, among = curves(rows), curves(rows + spam)
     assert [among[i] for i, _, _ in rows] == [alone[i] for i, _, _ in rows]
@@ -292,7 +310,8 @@ def test_spam_moves_no_yardstick(spark):
 
 
 def test_spam_without_a_language_is_found(spark):
-    """Pages of links alone have no function words; 40 of them in one band are found like a single one."""
+    """Pages of links alone have no function words; they are held against the prose of all languages."""
+    rng = random.Random(3)
     page = lambda i: "\n".join(f"https://lamp{i}x{k}.example/door{k}" for k in range(20))
-    df = spark.createDataFrame([(i, page(i), None) for i in range(40)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(i, page(i), None) for i in range(40)] + [(100 + i, prose(rng), "en") for i in range(20)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == list(range(40))
