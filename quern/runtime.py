@@ -60,8 +60,9 @@ class Scratch:
         self.local_bytes, self.local_rows = local_bytes, local_rows
         atexit.register(self.close)
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        if df.columns and plan_bytes(df) <= self.local_bytes:
+    def keep(self, df: DataFrame, name: str = "t", local: bool = True) -> DataFrame:
+        """``local=False`` writes at once, for frames that are costly to work out twice."""
+        if local and df.columns and plan_bytes(df) <= self.local_bytes:
             held = df.limit(self.local_rows + 1).toArrow()
             if held.num_rows <= self.local_rows and held.nbytes <= self.local_bytes:
                 out = self.spark.createDataFrame(held, df.schema)
