@@ -12,7 +12,7 @@ from .docpairs import doc_pairs
 from .mixing import mix, mixture_report
 from .packing import pack, pack_report
 from .percentiles import clean_samples, day_sketch, merge_sketches, percentiles
-from .stuffing import ELEMENT, FUNCTION_WORDS, MEASURES, ORDINARY, flag_pages, page_curves, stuffed_pages
+from .stuffing import ELEMENT, FUNCTION_WORDS, MEASURES, ODD, STOPS, flag_pages, page_curves, stuffed_pages
 from .tokens import with_tokens
 
 
@@ -108,7 +108,7 @@ _LOW = "((value >> greatest(0, length(bin(value)) - 8)) << greatest(0, length(bi
 
 _FW = ", ".join(f"('{code}', '{w}')" for code, ws in FUNCTION_WORDS.items() for w in sorted(set(ws.split())))
 _FIT = ", ".join(f"regr_slope({m}, x) AS b_{m}, avg({m}) AS m_{m}, regr_syy({m}, x) AS s_{m}, regr_sxy({m}, x) AS c_{m}, regr_sxx({m}, x) AS x_{m}" for m in MEASURES)
-_ORD = ORDINARY.replace("'", "''")
+_IN = lambda marks: ", ".join("'" + m + "'" for m in marks)
 
 
 def _z(m: str) -> str:
@@ -120,13 +120,12 @@ def _z(m: str) -> str:
 
 _CURVES = f"""
 WITH fw(language, w) AS (VALUES {_FW}),
-d AS (SELECT doc_id, text, lower(lang) AS lang, regexp_extract_all(lower(translate(text, '123456789', '000000000')), '{ELEMENT}') AS e FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, text, lower(lang) AS lang, regexp_extract_all(lower(text), '{ELEMENT}') AS e FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(e) AS w FROM d) GROUP BY ALL),
-b AS (SELECT doc_id, max(struct_pack(v := v, code := language, k := k)) AS b FROM (SELECT doc_id, language, count(*) AS v, sum(c) AS k FROM c JOIN fw USING (w) GROUP BY ALL) GROUP BY doc_id),
-m AS (SELECT doc_id, text, lang, b, greatest(1, len(regexp_extract_all(text, '\\p{{L}}+'))) AS words, length(text) - length(translate(text, '.!?', '')) AS stops, length(regexp_replace(text, '{_ORD}', '', 'g')) AS odd
-      FROM d LEFT JOIN b USING (doc_id)),
-pg AS (SELECT doc_id, CASE WHEN b.v > 1 THEN b.code WHEN lang IN ({", ".join(f"'{x}'" for x in FUNCTION_WORDS)}) THEN lang ELSE 'und' END AS language, regexp_matches(text, '\\p{{L}}') AS lettered,
-         coalesce(b.v > 1 AND b.k * 5 >= words AND stops * 30 >= words AND stops * 3 <= words AND odd * 20 <= words, FALSE) AS prose FROM m),
+b AS (SELECT doc_id, max(struct_pack(v := v, code := language)) AS b FROM (SELECT doc_id, language, sum(c) AS v FROM c JOIN fw USING (w) GROUP BY ALL) GROUP BY doc_id),
+k AS (SELECT doc_id, sum(c) AS n, coalesce(sum(c) FILTER (WHERE w IN ({_IN(STOPS)})), 0) AS stops, coalesce(sum(c) FILTER (WHERE w IN ({_IN(ODD)})), 0) AS odd FROM c GROUP BY doc_id),
+pg AS (SELECT doc_id, CASE WHEN b.v > 1 THEN b.code WHEN lang IN ({_IN(FUNCTION_WORDS)}) THEN lang ELSE 'und' END AS language, regexp_matches(text, '\\p{{L}}') AS lettered,
+         coalesce(b.v > 1 AND b.v * 7 >= n AND stops * 40 >= n AND stops * 4 <= n AND odd * 25 <= n, FALSE) AS prose FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)),
 t AS (SELECT language, w, sum(c) AS t FROM c JOIN pg USING (doc_id) WHERE prose GROUP BY ALL),
 corpus AS (SELECT * FROM t UNION ALL SELECT 'und', w, sum(t) FROM t GROUP BY w),
 known AS (SELECT language AS yard, w, t / sum_t AS q FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY t DESC, w) AS k, sum(t) OVER (PARTITION BY language) AS sum_t FROM corpus) WHERE k <= 500),

@@ -25,13 +25,17 @@ FUNCTION_WORDS = {
     "es": "el los las una un y es en de con por para del al la lo no sin su si que cuando hay entre nadie",
 }
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
-#: A page's elements: runs of letters, runs of digits (all read as noughts), single marks, line ends.
-ELEMENT = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]|\n"
-#: What prose is made of besides its marks for lists, markup and code.
-ORDINARY = r"[\p{L}\p{N}\s.,;:!?'’\"()-]+"
+#: A page's elements: runs of letters, single digits, single marks, line ends.
+ELEMENT = r"\p{L}+|[^\s\p{L}]|\n"
+STOPS = (".", "!", "?")
+#: Marks of lists, markup and code.
+ODD = tuple("{}[]<>=|#*_/\\@$%^&+~·•»`")
+LANGUAGES = (*sorted(FUNCTION_WORDS), "und")
 
 _URL = re.compile(r"(?:\b[a-z][a-z+.-]*://|\bwww\.)[^\s<>\"')\]]+|\b(?:[^\W_][\w-]*\.)+[a-z]{2,}/[^\s<>\"')\]]*", re.I)
 _MARKUP = re.compile(r"<[^<>]*>|[\[\]()]")
+_CODE_HINT = re.compile(r"[{};(<>=]")
+_NUMBER = re.compile(r"(?<!\w)\d+(?:[.,]\d+)?(?!\w)")
 _CODE = re.compile(r"[{};]\s*$|\w\(.*\)|[=<>]=|:=|\s[=<]\s|=>|->|^\s*\S+ .*[^\s>] > \d")
 _LABEL = re.compile(r"^[^\W\d_][\w ]{0,30}: ")
 _ITEM = re.compile(r"\s*[,;|·•#]\s*|\s+[-–—/>»]\s+")
@@ -63,6 +67,10 @@ def line_kind(s: str) -> tuple[str, int, list[str]]:
     code and other (table rows, headings, labelled lines)."""
     if s[0] == "|" and s[-1] == "|":
         return "other", len(_words(s)), []
+    if s[-1] in ".!?" and "/" not in s and "www." not in s and not _CODE_HINT.search(s):
+        words = _words(s.lower())
+        if len(words) > 3 and s[0] != "#":
+            return "prose", len(words), words  # the usual case
     urls, rest = [], s
     if "/" in s or "www." in s:
         urls = _URL.findall(s)
@@ -76,7 +84,7 @@ def line_kind(s: str) -> tuple[str, int, list[str]]:
         return ("prose" if function >= 0.1 * len(words) else "link"), n, words
     if not words:
         return "other", 0, words
-    if _CODE.search(s):
+    if _CODE_HINT.search(s) and _CODE.search(s):
         return "code", n, words
     if _HEADING.match(s):
         return "other", n, words
@@ -86,8 +94,9 @@ def line_kind(s: str) -> tuple[str, int, list[str]]:
         return "list", n, words
     if _LABEL.match(s):
         return ("other" if function <= 0.08 * len(words) else "prose"), n, words
-    # Short lines without a stop may hold a function word or so, as in "not dear".
-    if function > (0.34 if len(words) <= 6 and s[-1] not in ",;:" else 0.08) * len(words):
+    # Short lines without a stop, and those with numbers and prices, may hold a function word or so.
+    loose = (len(words) <= 6 and s[-1] not in ",;:") or len(_NUMBER.findall(s)) > 1
+    if function > (0.34 if loose else 0.08) * len(words):
         return "prose", n, words
     return ("short" if len(words) <= 3 else "list"), n, words
 
@@ -158,23 +167,25 @@ def _share(text: str) -> Column:
 
 
 def _elements(pages: DataFrame) -> DataFrame:
-    """Adds ``e`` (the elements in order), ``language`` and ``prose``.
-
-    ``language`` is that of which most function words occur, else the label's, else 'und'.
-    A page is ``prose`` by its own make-up, whatever others are like: a fifth of its words
-    are function words of its language, every thirtieth to every third word is followed by
-    a stop, and marks that prose doesn't need are rarer than one in twenty words."""
-    low = F.lower(F.translate("text", "123456789", "000000000"))
-    x = pages.withColumn("e", F.regexp_extract_all(low, F.lit(ELEMENT), F.lit(0))).withColumn("__fn", F.filter("e", lambda w: w.isin(*sorted(FUNCTION))))
-    sets = {code: sorted(set(ws.split())) for code, ws in FUNCTION_WORDS.items()}
+    """Adds ``e`` (the elements in order), ``language`` (its place in LANGUAGES) and ``prose``.
+
+    The language is that of which most function words occur, else the label's, else 'und'.
+    A page is ``prose`` by its own make-up, whatever others are like: a seventh of its
+    elements are function words of its language, every fortieth to every fourth is a stop,
+    and marks that prose doesn't need are rarer than one in twenty-five."""
+    telling = sorted(FUNCTION) + [*STOPS, *ODD]
     among = lambda ws: lambda w: w.isin(*ws)
-    types = [F.struct(F.size(F.array_intersect("__fn", F.array(*map(F.lit, ws)))).alias("v"), F.lit(code).alias("code"), F.size(F.filter("__fn", among(ws))).alias("k")) for code, ws in sets.items()]
-    x = x.withColumn("__best", F.greatest(*types))
-    label = F.when(F.lower("lang").isin(*FUNCTION_WORDS), F.lower("lang")).otherwise("und")
-    words = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\p{L}+")))
-    stops = F.length("text") - F.length(F.translate("text", ".!?", ""))
-    odd = F.length(F.regexp_replace("text", ORDINARY, ""))
-    prose = (F.col("__best.v") > 1) & (F.col("__best.k") * 5 >= words) & (stops * 30 >= words) & (stops * 3 <= words) & (odd * 20 <= words)
+    x = pages.withColumn("e", F.regexp_extract_all(F.lower("text"), F.lit(ELEMENT), F.lit(0))).withColumn("__k", F.filter("e", among(telling)))
+    votes = []
+    for i, code in enumerate(LANGUAGES[:-1]):
+        ws = sorted(set(FUNCTION_WORDS[code].split()))
+        votes.append(F.struct(F.size(F.filter("__k", among(ws))).alias("v"), F.lit(i).alias("code")))
+    x = x.withColumn("__best", F.greatest(*votes))
+    label = F.lit(len(LANGUAGES) - 1)
+    for i, code in enumerate(LANGUAGES[:-1]):
+        label = F.when(F.lower("lang") == code, i).otherwise(label)
+    n, stops, odd = F.size("e"), F.size(F.filter("__k", among(STOPS))), F.size(F.filter("__k", among(ODD)))
+    prose = (F.col("__best.v") > 1) & (F.col("__best.v") * 7 >= n) & (stops * 40 >= n) & (stops * 4 <= n) & (odd * 25 <= n)
     return x.withColumn("language", F.when(F.col("__best.v") > 1, F.col("__best.code")).otherwise(label)).withColumn("prose", prose)
 
 
@@ -195,26 +206,27 @@ def page_curves(docs: DataFrame, top: int = 500, scratch: Scratch | None = None)
     s = scratch or Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text", "lang").where("text is not null")
     # Not a filter on prose: that would be pushed below and work the elements out once more.
-    counts = s.keep(_elements(spread(texts, scan=True)).select("language", F.explode(F.when(F.col("prose"), F.col("e"))).alias("w")).groupBy("language", "w").agg(F.count("*").alias("t")), "counts", local=False)
-    every = counts.groupBy("w").agg(F.sum("t").alias("t")).select(F.lit("und").alias("language"), "w", "t")
+    found = _elements(spread(texts, scan=True)).select("language", F.explode(F.when(F.col("prose"), F.col("e"))).alias("w"))
+    counts = s.keep(found.groupBy("language", "w").agg(F.count("*").alias("t")), "counts", local=False)
+    every = counts.groupBy("w").agg(F.sum("t").alias("t")).select(F.lit(len(LANGUAGES) - 1).alias("language"), "w", "t")
     corpus = counts.unionByName(every)
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("t").desc(), "w"))
     sums = corpus.groupBy("language").agg(F.sum("t").alias("all"))
-    known = corpus.withColumn("k", rank).where(F.col("k") <= top).join(F.broadcast(sums), "language").select("language", "w", (F.col("t") / F.col("all")).alias("q"))
+    known = corpus.withColumn("k", rank).where(F.col("k") <= top).join(F.broadcast(sums), "language").select(F.col("language").alias("yard"), "w", (F.col("t") / F.col("all")).alias("q"))
     known = s.keep(known, "known")
-    rest = known.groupBy("language").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest")).select(F.col("language").alias("yard"), "q_rest")
+    rest = s.keep(known.groupBy("yard").agg(F.greatest(1 - F.sum("q"), F.lit(1e-6)).alias("q_rest")), "rest")
 
     spark = docs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts.repartition(tasks, "doc_id").withColumn("__row", F.monotonically_increasing_id()).withColumn("page", F.xxhash64("text"))
-    pages = _elements(rows).where(F.regexp_like("text", F.lit(r"\p{L}"))).join(F.broadcast(rest.select(F.col("yard").alias("language"), F.lit(True).alias("__own"))), "language", "left")
-    pages = pages.withColumn("yard", F.when(F.col("__own"), F.col("language")).otherwise("und"))
-    key = ["doc_id", "__row", "page", "language", "prose", "yard"]
+    rows = texts.where(F.regexp_like("text", F.lit(r"\p{L}"))).repartition(tasks, "doc_id").withColumn("__row", F.monotonically_increasing_id()).withColumn("page", F.xxhash64("text"))
+    own = [r.yard for r in rest.collect()]  # at most one row a language
+    pages = _elements(rows).withColumn("yard", F.when(F.col("language").isin(own), F.col("language")).otherwise(len(LANGUAGES) - 1))
+    key = ["doc_id", "__row", "page", "language", "prose", "yard"]  # numbers only, as they go through every group
     held = pages.select(*key, F.explode("e").alias("w")).groupBy(*key, "w").agg(F.count("*").alias("c"))
-    held = held.join(F.broadcast(known.select(F.col("language").alias("yard"), "w", "q")), ["yard", "w"], "left")
+    held = held.join(F.broadcast(known), ["yard", "w"], "left")
     by_count = held.groupBy(*key, "c").agg(
         F.count("*").alias("m"), F.sum(F.when(F.col("q").isNotNull(), F.col("c") * F.log(F.col("c") / F.col("q")))).alias("__in"), F.count("q").alias("__known"))
-    at_least = F.sum("m").over(Window.partitionBy(*key).orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    at_least = F.sum("m").over(Window.partitionBy("doc_id", "__row").orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0))
     points = by_count.withColumn("__x", F.log(at_least)).withColumn("__y", F.log("c"))
     fit = points.groupBy(*key).agg(
         F.sum(F.col("c") * F.col("m")).alias("n"), F.sum("m").alias("types"), F.count("*").alias("__points"), F.regr_slope("__y", "__x").alias("slope"),
@@ -224,7 +236,8 @@ def page_curves(docs: DataFrame, top: int = 500, scratch: Scratch | None = None)
     outside = F.when(F.col("__out") > 0, F.col("__out") * F.log(F.col("__out") / F.coalesce("q_rest", F.lit(1.0)))).otherwise(0.0)
     kl = (F.coalesce("__in", F.lit(0.0)) + outside) / F.col("n") - F.log("n")
     off = F.greatest(F.lit(0.0), F.col("__syy") - F.when(F.col("__sxx") > 0, F.col("__sxy") * F.col("__sxy") / F.col("__sxx")).otherwise(0.0))
-    out = fit.select("doc_id", "page", "language", "prose", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(off / F.col("__points")), F.lit(0.0)).alias("residual"), kl.alias("divergence"))
+    name = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("language") + 1)
+    out = fit.select("doc_id", "page", name.alias("language"), "prose", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(off / F.col("__points")), F.lit(0.0)).alias("residual"), kl.alias("divergence"))
     return out.groupBy("doc_id", "page").agg(*[F.first(c).alias(c) for c in out.columns[2:]])
 
 
