@@ -1,18 +1,23 @@
 """References to records that do not exist (problem 1).
 
-A blocked Bloom filter over the parents' keys, held as a small table of 256-bit blocks,
-proves most orphans; only references that pass it are checked exactly against the
-parents' lives, and the orphans are then aggregated per table and period.
+A split-block Bloom filter over the parents' keys, held as a table of 512-bit blocks and
+broadcast in slices of a set size, proves most orphans; only references that pass it are
+checked exactly against the parents' lives, and the orphans are then aggregated per table
+and period.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LANES = 4
-FILTER_BYTES_PER_BLOCK = 96  # of a hashed row: key, four words and the map's overhead
+from ..runtime import Scratch
+
+LANES = 8
+FILTER_BYTES_PER_BLOCK = 136  # of a hashed row: key, eight words and the map's overhead
+BUCKETS = 65_536
 
 
 def _key(cols: list[str]) -> Column:
@@ -20,20 +25,20 @@ def _key(cols: list[str]) -> Column:
 
 
 def _masks(h: Column) -> list[Column]:
-    """One bit in each of four 64-bit words, from a second hash of the key's hash."""
+    """One bit in each of eight 64-bit words, from a second hash of the key's hash."""
     g = F.xxhash64(h, F.lit(97))
     one = F.lit(1).cast("long")
     return [F.call_function("shiftleft", one, F.shiftright(g, 7 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(LANES)]
 
 
 def bloom_blocks(keys: DataFrame, h: str, blocks: int) -> DataFrame:
-    """(block, w0..w3): the filter as rows; the masks are OR-ed before the shuffle."""
+    """(block, w0..w7): the filter as rows; the masks are OR-ed before the shuffle."""
     aggs = [F.bit_or(m).alias(f"w{i}") for i, m in enumerate(_masks(F.col(h)))]
     return keys.groupBy(F.pmod(F.col(h), F.lit(blocks)).alias("block")).agg(*aggs)
 
 
 def bloom_flag(df: DataFrame, h: str, filter_: DataFrame, blocks: int, out: str) -> DataFrame:
-    """Adds ``out``: false proves that the key was never inserted."""
+    """Adds ``out``: false proves that the key was never inserted. ``filter_`` is broadcast."""
     f = filter_.select(F.col("block").alias("__block"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(LANES)])
     hit = F.lit(True)
     for i, m in enumerate(_masks(F.col(h))):
@@ -42,6 +47,33 @@ def bloom_flag(df: DataFrame, h: str, filter_: DataFrame, blocks: int, out: str)
     return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__block", *[f"__w{i}" for i in range(LANES)])
 
 
+def bloom_passes(df: DataFrame, h: str, keys: DataFrame, n: int, out: str, bits_per_key: int, limit_mb: int, scratch: Scratch) -> DataFrame:
+    """bloom_flag whatever the number ``n`` of keys. A filter larger than ``limit_mb`` is
+    cut into slices by ranges of blocks; each pass broadcasts one slice and asks it about
+    the rows whose block lies there, and is over before the next slice is broadcast."""
+    blocks = max(1, math.ceil(n * bits_per_key / (64 * LANES)))
+    per = max(1, (limit_mb << 20) // FILTER_BYTES_PER_BLOCK)
+    filter_ = bloom_blocks(keys, h, blocks)
+    if blocks <= per:
+        return bloom_flag(df, h, filter_, blocks, out)
+    filter_, at = scratch.keep(filter_, "filter", local=False), F.pmod(F.col(h), F.lit(blocks))
+    parts = []
+    for low in range(0, blocks, per):
+        mine = df.where((at >= low) & (at < low + per))
+        parts.append(scratch.keep(bloom_flag(mine, h, filter_.where((F.col("block") >= low) & (F.col("block") < low + per)), blocks, out), "pass", local=False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def hot_buckets(keys: DataFrame, h: str, share: int, least: int) -> list[tuple[int, int]]:
+    """(bucket, salts) of the hash buckets that hold more than 1/``share`` of the rows and
+    more than ``least``: those of any key that frequent are among them. One count over
+    BUCKETS groups, which combines before its shuffle and is as many rows at any size."""
+    counted = keys.groupBy(F.pmod(F.col(h), F.lit(BUCKETS)).cast("int").alias("b")).count().toArrow()
+    rows = list(zip(counted.column("b").to_pylist(), counted.column("count").to_pylist()))
+    load = max(least, sum(n for _, n in rows) // share, 1)
+    return [(b, -(-n // load)) for b, n in rows if n > load]
+
+
 def find_orphans(
     refs: DataFrame,
     lives: DataFrame,
@@ -55,7 +87,7 @@ def find_orphans(
     filter_limit_mb: int = 64,
     hot_share: int = 512,
     hot_least: int = 10_000,
-    salts: int = 16,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """References whose key has no living parent at the reference's time.
 
@@ -71,9 +103,11 @@ def find_orphans(
     out as often as they came in; repeated lives change nothing. Only the named columns
     are read, so extra columns may have any name.
 
-    Skew: keys holding more than 1/``hot_share`` of the references (so at most that many)
-    are spread over ``salts`` tasks and their parents' lives repeated there. The filter is
-    broadcast only if it stays within ``filter_limit_mb``; beyond, all go the exact way.
+    Every reference asks the filter, however many parents there are: beyond
+    ``filter_limit_mb`` it is broadcast in slices (bloom_passes). Skew: keys are hashed to
+    BUCKETS buckets; one that holds more than 1/``hot_share`` of the references (and than
+    ``hot_least``), so at most ``hot_share`` of them, spreads over as many tasks as it holds
+    such shares, with its parents' lives repeated there.
     """
     k = [f"__k{i}" for i in range(len(key))]
     name = F.col(key[-1])
@@ -85,19 +119,18 @@ def find_orphans(
         p = p.where(F.col(c).isNotNull())
     p = p.withColumn("__h", _key(k))
 
-    n = lives.count()
-    blocks = max(1, math.ceil(n * bits_per_key / (64 * LANES)))
-    proven = r.limit(0).select("*", F.lit("missing").alias("reason"))
-    maybe = r
-    if blocks * FILTER_BYTES_PER_BLOCK <= filter_limit_mb << 20:
-        flagged = bloom_flag(r, "__h", bloom_blocks(p, "__h", blocks), blocks, "__maybe")
-        proven = flagged.where(~F.col("__maybe")).drop("__maybe").withColumn("reason", F.lit("missing"))
-        maybe = flagged.where("__maybe").drop("__maybe")
-
-    threshold = max(hot_least, refs.count() // hot_share)
-    hot = F.broadcast(r.groupBy("__h").count().where(F.col("count") > threshold).select("__h", F.lit(True).alias("__hot")))
-    salted = maybe.join(hot, "__h", "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("__carry", "__at"), F.lit(salts))).otherwise(F.lit(0).cast("long")))
+    spark = refs.sparkSession
+    flagged = bloom_passes(r, "__h", p, lives.count(), "__maybe", bits_per_key, filter_limit_mb, scratch or Scratch(spark))
+    proven = flagged.where(~F.col("__maybe")).drop("__maybe").withColumn("reason", F.lit("missing"))
+    maybe = flagged.where("__maybe").drop("__maybe")
+
+    hot = hot_buckets(r, "__h", hot_share, hot_least)
+    # At most hot_share entries: a map in the plan, no join.
+    salts = F.lit(1)
+    if hot:
+        book = F.create_map(*[F.lit(x) for pair in hot for x in pair])
+        salts = F.coalesce(F.try_element_at(book, F.pmod(F.col("__h"), F.lit(BUCKETS)).cast("int")), F.lit(1))
+    salted = maybe.withColumn("__salt", F.pmod(F.xxhash64("__carry", "__at"), salts))
     asked = salted.select(*k, "__salt", F.col("__at").alias("__t"), F.lit(1).alias("__ask"), F.lit(0).alias("__alive"), F.lit(0).alias("__births"), F.lit(0).alias("__rows"), "__carry")
 
     lived = (F.col("__born").isNotNull()) & (F.col("__died").isNull() | (F.col("__died") > F.col("__born")))
@@ -105,11 +138,9 @@ def find_orphans(
         F.struct(F.col("__born").alias("t"), F.when(lived, 1).otherwise(0).alias("alive"), F.when(F.col("__born").isNotNull(), 1).otherwise(0).alias("births"), F.lit(1).alias("rows")),
         F.struct(F.col("__died").alias("t"), F.when(lived & F.col("__died").isNotNull(), -1).otherwise(0).alias("alive"), F.lit(0).alias("births"), F.lit(0).alias("rows")),
     )
-    spread = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     told = (
-        p.join(hot, "__h", "left").withColumn("__e", F.explode(events))
-        .where((F.col("__e.rows") == 1) | (F.col("__e.alive") != 0))
-        .withColumn("__salt", F.explode(spread))
+        p.withColumn("__e", F.explode(events)).where((F.col("__e.rows") == 1) | (F.col("__e.alive") != 0))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
         .select(*k, "__salt", F.col("__e.t").alias("__t"), F.lit(0).alias("__ask"), F.col("__e.alive").alias("__alive"), F.col("__e.births").alias("__births"), F.col("__e.rows").alias("__rows"),
                 F.lit(None).cast(maybe.schema["__carry"].dataType).alias("__carry"))
     )

@@ -39,22 +39,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """How many descendants each node has, and its range's length; null for nodes on or under a ring."""
-    return _hierarchy(spark, d).select("node", "root", (F.col("size") - 1).alias("descendants"), (F.col("rgt") - F.col("lft")).alias("span"), F.col("ring").cast("int").alias("ring"))
-
-
-def p4_nested(spark: SparkSession, d: str) -> DataFrame:
-    """The nested-set ranges: b descends from a iff their roots are equal and a.lft < b.lft <= a.rgt."""
-    return _hierarchy(spark, d).where("not ring").select("node", "root", "lft", "rgt", "size")
+    """The nested-set ranges: b descends from a iff their roots are equal and a.lft < b.lft <= a.rgt;
+    null for nodes on or under a ring."""
+    return build_hierarchy(read(spark, d, "delegates"), order="order_no", paths=False).select("node", "root", "lft", "rgt", (F.col("size") - 1).alias("descendants"), F.col("ring").cast("int").alias("ring"))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every node, read off the ranges."""
-    h = Scratch(spark).keep(_hierarchy(spark, d).select("node", "root", "lft", "rgt", "size", "ring"), "ranges")
+    h = Scratch(spark).keep(build_hierarchy(read(spark, d, "delegates"), order="order_no", paths=False).select("node", "root", "lft", "rgt", "size", "ring"), "ranges")
     return all_descendants(h)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_watermark, p2_committed, p4_found, p4_ranges, p4_nested, p4_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_watermark, p2_committed, p4_found, p4_ranges, p4_descendants)}
 
 _P1 = """
 WITH r AS (
@@ -128,9 +124,10 @@ FROM done WHERE is_child""",
     "p4_ranges": _P4 + """
 , tree AS (SELECT node, cur AS root, seen FROM done WHERE NOT ring),
 sizes AS (SELECT a AS node, count(*) - 1 AS n FROM (SELECT unnest(seen) AS a FROM tree) GROUP BY a)
-SELECT t.node, t.root, s.n AS descendants, s.n AS span, 0::INTEGER AS ring FROM tree t JOIN sizes s ON s.node = t.node
+SELECT t.node, t.root, l AS lft, l + s.n AS rgt, s.n AS descendants, 0::INTEGER AS ring
+FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY seen) - 1 AS l FROM tree) t JOIN sizes s ON s.node = t.node
 UNION ALL
-SELECT node, list_min(seen[2:list_position(seen[2:], cur) + 1]), NULL, NULL, 1::INTEGER FROM done WHERE ring""",
+SELECT node, list_min(seen[2:list_position(seen[2:], cur) + 1]), NULL, NULL, NULL, 1::INTEGER FROM done WHERE ring""",
     "p4_descendants": _P4 + """
 SELECT a AS node, root, node AS descendant FROM (SELECT node, cur AS root, unnest(seen) AS a FROM done WHERE NOT ring) WHERE a <> node""",
 }

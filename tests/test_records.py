@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quern.operators.hierarchy import all_descendants, ancestors_of, build_hierarchy, descendants_of
-from quern.operators.orphans import bloom_blocks, bloom_flag, find_orphans, reference_orphans
+from quern.operators.orphans import bloom_blocks, bloom_flag, find_orphans, hot_buckets, reference_orphans
 from quern.operators.replay import replay, watermark
 
 T = [dt.datetime(2025, 1, 1) + dt.timedelta(days=i) for i in range(60)]
@@ -23,9 +23,9 @@ def test_orphans(spark, rows):
     files = spark.createDataFrame([("r", "p", T[50], None)], FILE)
     want = [(2, "symbol", "late", "2025-01"), (3, "symbol", "deleted", "2025-01"), (4, "path", "late", "2025-02"), (4, "symbol", "missing", "2025-02"), (7, "symbol", "missing", "2025-01"), (9, "symbol", "deleted", "2025-01"), (10, "symbol", "missing", "2025-01")]
     assert rows(reference_orphans(refs, lives, files)) == sorted(want, key=repr)
-    # The same without the filter, and with every key treated as hot.
-    assert rows(reference_orphans(refs, lives, files, filter_limit_mb=0)) == sorted(want, key=repr)
-    assert rows(reference_orphans(refs, lives, files, hot_share=10**9, hot_least=0, salts=3)) == sorted(want, key=repr)
+    # The same with a filter of one block a pass, and with every key treated as hot.
+    assert rows(reference_orphans(refs, lives, files, filter_limit_mb=0, bits_per_key=400)) == sorted(want, key=repr)
+    assert rows(reference_orphans(refs, lives, files, hot_share=10**9, hot_least=0)) == sorted(want, key=repr)
     assert reference_orphans(refs.limit(0), lives, files).count() == 0
     assert reference_orphans(refs, lives.limit(0), files.limit(0)).where("reason <> 'missing'").count() == 0
 
@@ -50,6 +50,8 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom_flag(keys, "h", f, 125, "m").where("not m").count() == 0
     other = spark.range(10_000, 20_000).selectExpr("xxhash64(id) h")
     assert bloom_flag(other, "h", f, 125, "m").where("m").count() < 600
+    load = spark.range(1000).selectExpr("xxhash64(id % 10) h").union(spark.range(500).selectExpr("xxhash64(3L) h"))
+    assert [n for _, n in hot_buckets(load, "h", 5, 0)] == [2]
 
 
 LOG = "delivery_id long, world string, version long, catalog_changes array<struct<change:string,relation:string,rule_id:string,functional:boolean>>, changes array<struct<relation:string,tuple:array<string>,kind:string>>, received_at timestamp, state string"
@@ -119,7 +121,7 @@ def test_hierarchy_random(spark):
     rng = random.Random(5)
     data = [(i, rng.randrange(max(1, i - 3), i), 0) for i in range(2, 40)] + [(i, None, 0) for i in (1, 50)]
     data += [(60, 61, 0), (61, 62, 0), (62, 60, 1), (63, 62, 0), (64, 63, 0), (70, 70, 0), (5, 90, None), (6, 2, 0), (6, 3, 0), (6, 3, 0)]
-    h = build_hierarchy(links(spark, data), salts=2).cache()
+    h = build_hierarchy(links(spark, data), block=7).cache()
     got = {r.node: (r.root, r.depth, r.path) for r in h.where("is_child").collect()}
     assert got == walk(data)
     tree = {r.node: r for r in h.where("not ring").collect()}
@@ -136,7 +138,7 @@ def test_hierarchy_random(spark):
 def test_all_descendants(spark, rows):
     rng = random.Random(7)
     data = [(i, rng.randrange(max(1, i - 4), i), 0) for i in range(2, 50)] + [(60, 61, 0), (61, 60, 0), (62, 60, 0), (70, 90, 0), (71, None, 0)]
-    h = build_hierarchy(links(spark, data), salts=2)
+    h = build_hierarchy(links(spark, data), block=3)
     pairs = [(int(a), r.root, r.node) for r in h.where("not ring").collect() for a in r.path.split("/")[:-1]]
     assert rows(all_descendants(h)) == sorted(pairs, key=repr) and pairs
     assert all_descendants(build_hierarchy(links(spark, []))).count() == 0
@@ -144,7 +146,17 @@ def test_all_descendants(spark, rows):
 
 def test_hierarchy_deep_and_empty(spark):
     chain = [(i, i - 1, 0) for i in range(1, 300)]
-    h = build_hierarchy(links(spark, chain))
+    h = build_hierarchy(links(spark, chain), block=50)
     assert h.agg({"depth": "max"}).first()[0] == 299
     assert build_hierarchy(links(spark, [])).count() == 0
     assert build_hierarchy(links(spark, [(None, 1, 0)])).count() == 0
+
+
+def test_rings_of_many_lengths(spark):
+    data, at = [], 1
+    for length in (1, 2, 3, 5, 8, 13):  # a ring with tails of its own length, side by side with a tree
+        data += [(at + i, at + (i + 1) % length, 0) for i in range(length)] + [(at + 100 + i, at + i if i == 0 else at + 99 + i, 0) for i in range(length)]
+        at += 1000
+    data += [(9000 + i, 9000 + i // 2, 0) for i in range(1, 40)]
+    got = {r.node: (r.root, r.depth, r.path) for r in build_hierarchy(links(spark, data)).where("is_child").collect()}
+    assert got == walk(data)
