@@ -6,11 +6,11 @@ that can be added up over any days.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import Scratch
+from ..runtime import Scratch, maybe_broadcast, rows_of
 
 STUCK = 2**63 - 1
 #: The percentiles reported, in thousandths.
@@ -33,7 +33,7 @@ def clean_samples(table: DataFrame, metric: str, label: str, duration: str) -> D
 
 
 def multi_select(
-    values: DataFrame, *, group: str = "g", value: str = "v", permilles: tuple[int, ...] = PERMILLES, finish: int = 1024, scratch: Scratch | None = None, max_groups: int = 200_000
+    values: DataFrame, *, group: str = "g", value: str = "v", permilles: tuple[int, ...] = PERMILLES, finish: int = 1024, scratch: Scratch | None = None
 ) -> DataFrame:
     """(g, permille, n, v): per group the value of rank ceil(n * permille / 1000), exactly.
 
@@ -45,98 +45,82 @@ def multi_select(
     range, so every round rules something out; ranges of at most ``finish`` values are
     sorted and read off.
 
-    The driver holds the open ranges, at most groups times permilles, and never a value
-    set; more than ``max_groups`` groups are refused (call it by slices of groups then).
-    Null groups or values are left out; ties count; an empty table gives no rows.
+    The open ranges (g, lo, hi, n, p and the ranks sought in them) are a table of each
+    round, at most groups times permilles rows, whatever their number; the driver learns
+    only how many there are. They are broadcast to the candidates where their size allows
+    and joined by a shuffle else. Null groups or values are left out; ties count; an empty
+    table gives no rows.
     """
-    spark = values.sparkSession
-    s = scratch or Scratch(spark)
-    cand = s.keep(values.select(F.col(group).cast("int").alias("g"), F.col(value).cast("long").alias("v")).where("g is not null and v is not null"), "select")
-    seg_type = "g int, seg int, lo long, hi long, p long"
-
-    def proposals(x: DataFrame) -> list:
-        """Per (g, seg, side): how many, and the weighted median of the local medians."""
-        local = x.withColumn("pid", F.spark_partition_id()).groupBy("g", "seg", "side", "pid").agg(F.count("*").alias("n"), F.percentile_approx("v", F.lit(0.5), F.lit(100)).alias("m"))
-        w = Window.partitionBy("g", "seg", "side").orderBy("m", "pid")
-        run = local.select("*", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(Window.partitionBy("g", "seg", "side")).alias("t"))
-        return run.groupBy("g", "seg", "side").agg(F.max("t").alias("n"), F.min(F.when(F.col("c") * 2 >= F.col("t"), F.col("m"))).alias("m")).collect()
-
-    first = proposals(cand.select("g", F.lit(0).alias("seg"), F.lit(0).alias("side"), "v"))
-    if len(first) > max_groups:
-        raise ValueError(f"{len(first)} groups; call multi_select by slices of at most {max_groups}")
-    counts = {r.g: r.n for r in first}
-    found: list[tuple[int, int, int]] = []
-    last: list[tuple] = []  # (g, seg, lo, hi, rank, permille) of ranges to be sorted
-    active: dict[tuple[int, int], dict] = {}
-    stored, total = sum(counts.values()), 0
-
-    def place(g: int, seg: int, lo: int, hi: int, n: int, pivot: int, wanted: list[tuple[int, int]]) -> None:
-        nonlocal total
-        if n <= finish:
-            last.extend((g, seg, lo, hi, k, q) for q, k in wanted)
-        else:
-            active[g, seg] = {"lo": lo, "hi": hi, "p": pivot, "wanted": wanted}
-        total += n
-
-    for r in first:
-        place(r.g, 0, -(2**63), STUCK, r.n, r.m, [(q, max(1, -(-r.n * q // 1000))) for q in permilles])
-    fresh = defaultdict(lambda: 1)
-    while active:
-        if total * 2 <= stored:
-            keep = [(g, a["lo"], a["hi"]) for (g, _), a in active.items()] + list({(g, lo, hi) for g, _, lo, hi, _, _ in last})
-            k = spark.createDataFrame(keep, "g int, lo long, hi long")
-            new = s.keep(cand.join(F.broadcast(k), "g").where("v > lo and v < hi").select("g", "v"), "select")
-            s.drop(cand)
-            cand, stored = new, total
-        segs = spark.createDataFrame([(g, i, a["lo"], a["hi"], a["p"]) for (g, i), a in active.items()], seg_type)
-        x = cand.join(F.broadcast(segs), "g").where("v > lo and v < hi").select("g", "seg", F.signum(F.col("v") - F.col("p")).cast("int").alias("side"), "v")
-        sides: dict = defaultdict(dict)
-        for r in proposals(x):
-            sides[r.g, r.seg][r.side] = (r.n, r.m)
-        was, active, total = active, {}, sum({(g, lo, hi): 0 for g, _, lo, hi, _, _ in last}.values())
-        for (g, i), a in was.items():
-            (below, m0), (at, _), (above, m2) = (sides[g, i].get(k, (0, None)) for k in (-1, 0, 1))
-            left = [(q, k) for q, k in a["wanted"] if k <= below]
-            right = [(q, k - below - at) for q, k in a["wanted"] if k > below + at]
-            found += [(g, q, a["p"]) for q, k in a["wanted"] if below < k <= below + at]
-            for wanted, lo, hi, n, m in ((left, a["lo"], a["p"], below, m0), (right, a["p"], a["hi"], above, m2)):
-                if wanted:
-                    seg = fresh[g]
-                    fresh[g] += 1
-                    place(g, seg, lo, hi, n, m, wanted)
-    done = spark.createDataFrame(found, "g int, permille int, v long")
-    ends = spark.createDataFrame(last, "g int, seg int, lo long, hi long, k long, permille int")
-    ranges = ends.groupBy("g", "seg", "lo", "hi").agg(F.collect_list(F.struct("k", "permille")).alias("ks"))
-    rank = F.row_number().over(Window.partitionBy("g", "seg").orderBy("v"))
-    sorted_ = cand.join(F.broadcast(ranges), "g").where("v > lo and v < hi").withColumn("r", rank)
-    read = sorted_.select("g", "v", F.explode(F.filter("ks", lambda k: k["k"] == F.col("r"))).alias("k")).select("g", F.col("k.permille").alias("permille"), "v")
-    n = spark.createDataFrame(list(counts.items()), "g int, n long")
-    return done.unionByName(read).join(F.broadcast(n), "g").select("g", "permille", "n", "v")
-
-
-def percentiles(samples: DataFrame, scratch: Scratch | None = None, max_labels: int = 10_000, **options) -> DataFrame:
+    s = scratch or Scratch(values.sparkSession)
+    cand = s.keep(values.select(F.col(group).cast("long").alias("g"), F.col(value).cast("long").alias("v")).where("g is not null and v is not null"), "select", local=False)
+    key = ["g", "lo", "hi"]
+
+    def proposals(x: DataFrame) -> DataFrame:
+        """Per range and side: how many (n), and the weighted median (m) of the local medians."""
+        by = [*key, "side"]
+        local = x.withColumn("pid", F.spark_partition_id()).groupBy(*by, "pid").agg(F.count("*").alias("n"), F.percentile_approx("v", F.lit(0.5), F.lit(100)).alias("m"))
+        w = Window.partitionBy(*by).orderBy("m", "pid")
+        run = local.select("*", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(Window.partitionBy(*by)).alias("t"))
+        return run.groupBy(*by).agg(F.max("t").alias("n"), F.min(F.when(F.col("c") * 2 >= F.col("t"), F.col("m"))).alias("m"))
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return cand.join(maybe_broadcast(ranges), "g").where("v > lo and v < hi")
+
+    whole = cand.select("g", F.lit(-(2**63)).alias("lo"), F.lit(STUCK).alias("hi"), F.lit(0).alias("side"), "v")
+    sought = F.array(*[F.struct(F.lit(q).alias("permille"), F.greatest(F.lit(1).cast("long"), F.expr(f"(n * {q} + 999) div 1000")).alias("k")) for q in permilles])
+    ranges = s.keep(proposals(whole).select(*key, "n", F.col("m").alias("p"), sought.alias("ks")), "ranges")
+    counts = ranges.select("g", F.col("n").alias("all"))
+    last, found = [ranges.where(F.col("n") <= finish)], []
+    open_ = s.keep(ranges.where(F.col("n") > finish), "open")
+    stored, total, sides = None, 0, None
+    while rows_of(open_):
+        total = open_.agg(F.sum("n")).first()[0]
+        if stored is None or total * 2 <= stored:
+            alive = reduce(DataFrame.unionByName, [x.select(*key) for x in last], open_.select(*key))
+            new = s.keep(inside(alive).select("g", "v"), "select", local=False) if stored is not None else cand
+            if new is not cand:
+                s.drop(cand)
+            cand, stored = new, total + sum(x.agg(F.sum("n")).first()[0] or 0 for x in last)
+        x = inside(open_.select(*key, "p")).select(*key, F.signum(F.col("v") - F.col("p")).cast("int").alias("side"), "v")
+        side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
+        split = proposals(x).groupBy(*key).agg(
+            F.coalesce(side(-1, "n"), F.lit(0)).alias("below"), side(-1, "m").alias("m0"), F.coalesce(side(0, "n"), F.lit(0)).alias("at"), F.coalesce(side(1, "n"), F.lit(0)).alias("above"), side(1, "m").alias("m2"))
+        met = s.keep(open_.join(split, key), "met")
+        upto = F.col("below") + F.col("at")
+        found.append(met.select("g", F.explode(F.filter("ks", lambda k: (k["k"] > F.col("below")) & (k["k"] <= upto))).alias("k"), F.col("p").alias("v")).select("g", "k.permille", "v"))
+        left = met.select("g", "lo", F.col("p").alias("hi"), F.col("below").alias("n"), F.col("m0").alias("p"), F.filter("ks", lambda k: k["k"] <= F.col("below")).alias("ks"))
+        right = met.select("g", F.col("p").alias("lo"), "hi", F.col("above").alias("n"), F.col("m2").alias("p"), F.transform(
+            F.filter("ks", lambda k: k["k"] > upto), lambda k: F.struct(k["permille"].alias("permille"), (k["k"] - upto).alias("k"))).alias("ks"))
+        both = s.keep(left.unionByName(right).where(F.size("ks") > 0), "ranges")
+        last.append(both.where(F.col("n") <= finish))
+        open_ = s.keep(both.where(F.col("n") > finish), "open")
+    ends = reduce(DataFrame.unionByName, last)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("v"))
+    read = inside(ends.select(*key, "ks")).withColumn("r", rank).select("g", "v", F.explode(F.filter("ks", lambda k: k["k"] == F.col("r"))).alias("k")).select("g", "k.permille", "v")
+    out = reduce(DataFrame.unionByName, found, read)
+    return out.join(maybe_broadcast(counts), "g").select("g", "permille", F.col("all").alias("n"), "v")
+
+
+def percentiles(samples: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """(metric, label, day, n, p50, p90, p99, p999), exact; day 'all' is over all days.
 
-    ``samples`` holds metric, label, day, value (clean_samples). Labels and days are
-    numbered once, by a list of their names that ``max_labels`` bounds."""
-    spark = samples.sparkSession
-    s = scratch or Scratch(spark)
-    once = s.keep(samples, "samples")
-    names = once.groupBy("metric", "label", "day").agg(F.lit(1)).select("metric", "label", "day").limit(max_labels * 400 + 1).collect()
-    keys = sorted({(r.metric, r.label, r.day) for r in names if r.day is not None} | {(r.metric, r.label, None) for r in names}, key=repr)
-    labels = {(m, lab) for m, lab, _ in keys}
-    if len(labels) > max_labels:
-        raise ValueError(f"{len(labels)} labels; the bound is {max_labels}")
-    number = {k: i for i, k in enumerate(keys)}
-    rows = [(m, lab, d, number[m, lab, d] if d is not None else None, number[m, lab, None]) for m, lab, d in {(r.metric, r.label, r.day) for r in names}]
-    book = spark.createDataFrame(rows, "metric string, label string, day int, gd int, ga int").select(*[F.col(c).alias(f"__{c}") for c in ("metric", "label", "day")], "gd", "ga")
-    x = once.join(F.broadcast(book), (F.col("metric") == F.col("__metric")) & F.col("label").eqNullSafe(F.col("__label")) & F.col("day").eqNullSafe(F.col("__day")))
+    ``samples`` holds metric, label, day, value (clean_samples). The groups' names are
+    numbered once, in a table of their own."""
+    s = scratch or Scratch(samples.sparkSession)
+    once = s.keep(samples, "samples", local=False)
+    names = once.select("metric", "label", "day").distinct()
+    every = names.select("metric", "label", F.lit(None).cast("int").alias("day"), F.lit(True).alias("every")).unionByName(names.where("day is not null").withColumn("every", F.lit(False))).distinct()
+    book = s.keep(every.withColumn("g", F.monotonically_increasing_id()), "book", local=False)
+    own, whole = (book.where("not every" if daily else "every").select(*[F.col(c).alias(f"__{c}") for c in ("metric", "label", "day")], F.col("g").alias(g)) for daily, g in ((True, "gd"), (False, "ga")))
+    same = lambda *cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols])
+    x = once.join(maybe_broadcast(own.withColumnsRenamed({"__metric": "__m", "__label": "__l", "__day": "__d"})),
+                  F.col("metric").eqNullSafe(F.col("__m")) & F.col("label").eqNullSafe(F.col("__l")) & F.col("day").eqNullSafe(F.col("__d")), "left")
+    x = x.join(maybe_broadcast(whole), same("metric", "label"))
     both = x.select(F.explode(F.array("gd", "ga")).alias("g"), F.col("value").alias("v"))
     got = multi_select(both, scratch=s, **options)
     wide = got.groupBy("g").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("permille") == q, F.col("v"))).alias(NAMES[q]) for q in PERMILLES])
-    back = spark.createDataFrame([(i, m, lab, d) for (m, lab, d), i in number.items()], "g int, metric string, label string, d int")
-    day = F.coalesce(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")), "yyyy-MM-dd"), F.lit("all"))
-    return wide.join(F.broadcast(back), "g").select("metric", "label", day.alias("day"), "n", *NAMES.values())
+    day = F.coalesce(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd"), F.lit("all"))
+    return wide.join(maybe_broadcast(book), "g").select("metric", "label", day.alias("day"), "n", *NAMES.values())
 
 
 def bucket(v, bits: int = 7):

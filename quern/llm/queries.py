@@ -33,7 +33,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where("doc_from = 'own'").select("repository", "path", "start_byte").distinct()
+    """The resolved pairs whose comment is the item's own, which is what the statement asks for."""
+    return _pairs(spark, d).where("doc_from = 'own'").select("repository", "path", "start_byte")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.chunks import split_oversized, split_text
-from quern.llm.docpairs import doc_pairs, js_doc, slash_doc, python_doc, rust_doc, significant_words, signature
+from quern.llm.docpairs import Source, doc_pairs, js_doc, slash_doc, python_doc, rust_doc, significant_words, signature
 from quern.llm.mixing import mix, mixture_report, pivotal
 from quern.llm.packing import pack, pack_report, pack_sizes
 from quern.llm.percentiles import clean_samples, day_sketch, merge_sketches, multi_select, percentiles
@@ -98,7 +98,20 @@ def test_trivial():
     assert significant_words("Visit index", "visitIndex") == 0
     assert significant_words("TODO write this up some day\n@param a b c d\n:param x: y z\nFIXME a b c d", "f") == 0
     assert significant_words("naïve café über straße", "f") == 4
-    assert signature("fn f<'a>(x: &'a str, y: u64 ) -> u8 {") == signature("fn f(x:&str, y: u64)")
+    assert signature("fn f<'a>(x: &'a str, y: u64 ) -> u8 {") == signature("fn f(text:&str, n: u64)") == "&str,u64"
+    assert signature("fn f(&self, m: Map<u8, u16>, g: fn(u8) -> u8)") == "&self,Map<u8,u16>,fn(u8)->u8" and signature("fn f(c: crate::T)") == "crate::T"
+    assert signature("def f(self, a, b: int = 3):") == "self,_,int" and signature("f(a, b = {x: 1}) {") == "_,_" and signature("x") == ""
+
+
+def test_scopes_close():
+    rs = "impl<T> Show for A<T> {\n    fn a() { x('{'); }\n    // }\n    /* } /* } */ */\n    fn b() -> &'static str { r#\"}\"# }\n}\nfn free() {}\nimpl B {\n    fn c() {}\n}\n"
+    own = lambda ext, text, part: Source(f"x.{ext}", text).owner(text.index(part))
+    assert own("rs", rs, "fn a") == own("rs", rs, "fn b") == ("A", "Show") and own("rs", rs, "fn free") == ("", "") and own("rs", rs, "fn c") == ("B", "")
+    py = 'class A(m.Base):\n    def a(self):\n        """\nno\n        """\n    def b(self): ...\n\ndef free(): ...\nclass C:\n    class D:\n        def d(self): ...\n    def c(self): ...\n'
+    assert own("py", py, "def b") == ("A", "Base") and own("py", py, "def free") == ("", "") and own("py", py, "def d") == ("D", "") and own("py", py, "def c") == ("C", "")
+    js = "class A extends B {\n  a() { return `}`; }\n  b() {}\n}\nfunction free() {}\n"
+    assert own("js", js, "b()") == ("A", "B") and own("js", js, "function free") == ("", "")
+    assert Source("x.rs", "é { }").at(2) == 1
 
 
 def test_doc_pairs(spark, rows):
@@ -119,6 +132,21 @@ def test_doc_pairs(spark, rows):
     got = {(r.start_byte, r.doc_from): r for r in doc_pairs(s, fl).collect()}
     assert set(got) == {(f[0], "own"), (decl[0], "own"), (own[0], "declaration")}
     assert got[f[0], "own"].code.startswith("pub fn f") and got[f[0], "own"].doc == "é One two three four."
+    def case(path, text, parts):
+        at = [text.index(x) for x in parts]
+        return (path, text), [("r", path, "method", x.split("(")[0].split()[-1], a, a + len(x)) for a, x in zip(at, parts)]
+
+    # Across files: overloads by their types whatever the names; a closed scope lends nothing.
+    trait = case("t.rs", "trait T {\n    /// Turns the small dial here.\n    fn h(&self, x: u8);\n    /// Turns the large dial here.\n    fn h(&self, x: u64);\n}\n", ["fn h(&self, x: u8);", "fn h(&self, x: u64);"])
+    impl = case("i.rs", "impl T for S {\n    fn h(&self, dial: u64) {}\n}\nfn h(x: u8) {}\n", ["fn h(&self, dial: u64) {}", "fn h(x: u8) {}"])
+    base = case("b.py", 'class B:\n    def m(self, a):\n        """Does one thing very well."""\n        ...\n', ['def m(self, a):\n        """Does one thing very well."""\n        ...'])
+    sub = case("s.py", "class S(B):\n    def m(self, b):\n        return 1\n", ["def m(self, b):\n        return 1"])
+    cases = [trait, impl, base, sub]
+    s2 = spark.createDataFrame([x for _, xs in cases for x in xs], "repository string, path string, kind string, name string, start_byte long, end_byte long")
+    f2 = spark.createDataFrame([("r", p, t, "h", None) for (p, t), _ in cases], "repository string, path string, text string, hash string, indexed_at timestamp")
+    lent = {(r.path, r.doc_from, r.doc) for r in doc_pairs(s2, f2).collect()}
+    assert lent == {("t.rs", "own", "Turns the small dial here."), ("t.rs", "own", "Turns the large dial here."), ("i.rs", "declaration", "Turns the large dial here."),
+                    ("b.py", "own", "Does one thing very well."), ("s.py", "declaration", "Does one thing very well.")}
     assert doc_pairs(s.limit(0), fl).count() == 0 and doc_pairs(s, fl.limit(0)).count() == 0
 
 
@@ -132,8 +160,6 @@ def test_multi_select_is_exact(spark):
         got = {(r.g, r.permille): r.v for r in multi_select(df, finish=finish).collect()}
         assert got == {(g, q): int(np.sort(vs)[max(1, -(-len(vs) * q // 1000)) - 1]) for g, vs in data.items() for q in (500, 900, 990, 999)}
     assert multi_select(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        multi_select(df, max_groups=2)
 
 
 def test_samples_and_sketches(spark, rows):
