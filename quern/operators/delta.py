@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.rules import Atom, RuleSet, clause, components, strata
+from ..plans.rules import Atom, Rule, RuleSet, clause, components
 from ..runtime import Scratch, maybe_broadcast, rows_of
 
 W = "__w"
@@ -44,15 +46,14 @@ def apply_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
     cols = rows.columns
     gone = changes.where(F.col(W) < 0).select(*cols)
     new = changes.where(F.col(W) > 0).select(*cols)
-    return rows.join(gone, cols, "left_anti").union(new).distinct()
+    return meet(rows, gone, "left_anti").union(new).distinct()
 
 
 def effective(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """Only the changes that alter the set: asserts of absent rows, retracts of present ones."""
-    cols = rows.columns
-    new = changes.where(F.col(W) > 0).select(*cols).distinct().join(rows, cols, "left_anti")
-    gone = changes.where(F.col(W) < 0).select(*cols).distinct().join(rows, cols, "left_semi")
-    return zset(new, 1).union(zset(gone, -1))
+    new = changes.where(F.col(W) > 0).select(*rows.columns).distinct()
+    gone = changes.where(F.col(W) < 0).select(*rows.columns).distinct()
+    return zset(absent(new, rows), 1).union(zset(meet(rows, gone, "left_semi").distinct(), -1))
 
 
 def delta_join(olds: list[DataFrame], deltas: list[DataFrame], on: list[str]) -> DataFrame:
@@ -104,138 +105,265 @@ class _Reader:
         return self.tables[name]
 
 
+def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join on all of ``right``'s columns, nulls equal; ``right`` is
+    broadcast where its size allows, so that a large ``left`` is only scanned."""
+    other = maybe_broadcast(right.toDF(*[f"__r{i}" for i in range(len(right.columns))]))
+    on = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(right.columns)]
+    return left.join(other, reduce(lambda a, b: a & b, on) if on else F.lit(True), how)
+
+
+def absent(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the small ``found`` that the large ``rows`` lacks: one scan of ``rows``."""
+    return meet(found, meet(rows, found, "left_semi"), "left_anti")
+
+
+@dataclass
+class Arrangement:
+    """One relation's rows, or a z-set's if ``weighted``, as a kept base and the ± changes
+    since: a change is written once and the base again only every ``every`` changes."""
+
+    scratch: Scratch
+    base: DataFrame
+    weighted: bool = False
+    every: int = 8
+    deltas: list[DataFrame] = field(default_factory=list)
+
+    def rows(self) -> DataFrame:
+        if not self.deltas:
+            return self.base
+        if self.weighted:
+            return plus(self.base, *self.deltas)
+        net = plus(*self.deltas)  # effective changes alternate, so a row's add up to -1, 0 or 1
+        return meet(self.base, net.where(F.col(W) < 0).drop(W), "left_anti").unionByName(net.where(F.col(W) > 0).drop(W))
+
+    def touched(self, keys: DataFrame) -> DataFrame:
+        """The part that holds the rows of ``keys`` alone."""
+        part = Arrangement(self.scratch, meet(self.base, keys, "left_semi"), self.weighted, self.every, [meet(d, keys, "left_semi") for d in self.deltas])
+        return part.rows()
+
+    def add(self, change: DataFrame) -> None:
+        self.deltas = [*self.deltas, change]
+        if len(self.deltas) >= self.every:
+            self.base, self.deltas = self.scratch.keep(self.rows(), "arranged"), []
+
+
+def _as_delta(r: Rule, i: int) -> Rule:
+    """The rule whose i-th atom is read off a change, also where it was negated."""
+    b = r.body[i]
+    return Rule(r.head, (*r.body[:i], Atom(b.relation, b.args), *r.body[i + 1 :]), r.id)
+
+
 @dataclass
 class MaintainedView:
     """Derived relations of a rule set kept up to date from base changes.
 
     ``advance`` takes {relation: ± rows} and returns the visible ± changes of every
-    relation, stored or derived. Components whose inputs did not change are skipped. A
-    recursive component, or one with negation, follows presence: rows whose derivation
-    used a lost row are overdeleted and then rederived from what is left, and new rows
-    spread semi-naively. A lost base row of a target or a gained row of a negated input
-    re-evaluates the component (full overdelete). State is written to the shared folder.
+    relation, stored or derived. Components whose inputs did not change are skipped.
+
+    A component that doesn't recurse counts each row's derivations: every changed atom in
+    turn is read off its change, with the atoms before it new and those after it old, a
+    negated atom counting the other way round, and a row shows while its count is positive
+    or it is a base fact. A recursive one follows presence: what used a lost row (or a row
+    that a negation now meets) is overdeleted and, from the lost rows on, rederived; new
+    rows spread semi-naively. State is arranged: only changes are written.
+
+    ``computed`` reads relations that are made at scan time and have no changes; what
+    depends on them is evaluated afresh and compared. ``targets`` keeps only what those
+    heads depend on.
     """
 
     rules: RuleSet
     base: dict[str, DataFrame]
     scratch: Scratch
-    state: dict[str, DataFrame] = field(default_factory=dict)
+    computed: Any = None
+    targets: Iterable[str] | None = None
     version: int = 0
 
     def __post_init__(self) -> None:
-        self.base = {n: self.scratch.keep(_named(df), n) for n, df in self.base.items()}
-        self.state = {n: self.scratch.keep(df, n) for n, df in self.rules.fixpoint(_Reader(self.base), scratch=self.scratch).items()}
+        self.own = self.rules.needed(self.targets if self.targets is not None else self.rules.heads)
+        keep = self.scratch.keep
+        self.stored = {n: Arrangement(self.scratch, keep(_named(df), n)) for n, df in self.base.items()}
+        self.state: dict[str, Arrangement] = {}
+        self.support: dict[str, Arrangement] = {}
+        for component in components(self.own):
+            rules = [r for r in self.own if r.head.relation in component]
+            if self._recursive(rules, component) or self._opaque(rules):
+                held = {h: self.stored[h].rows() for h in component if h in self.stored}
+                outside = {b.relation: self.read(b.relation) for r in rules for b in r.body if isinstance(b, Atom) and b.relation not in component}
+                for h, df in RuleSet(rules).fixpoint(_Reader({**outside, **held}), scratch=self.scratch).items():
+                    self.state[h] = Arrangement(self.scratch, keep(df, h))
+                continue
+            (head,) = component
+            counted = plus(*[zset(clause(r, self.read, bag=True)) for r in rules])
+            self.support[head] = Arrangement(self.scratch, keep(counted, head), weighted=True)
+            rows = visible(self.support[head].base)
+            self.state[head] = Arrangement(self.scratch, keep(rows.union(self.stored[head].rows()).distinct() if head in self.stored else rows, head))
+
+    def _recursive(self, rules, component) -> bool:
+        return any(isinstance(b, Atom) and b.relation in component for r in rules for b in r.body)
+
+    def _opaque(self, rules) -> bool:
+        """Whether the rules read, through others or not, a relation without changes."""
+        names, grown = {b.relation for r in rules for b in r.body if isinstance(b, Atom)}, True
+        while grown:
+            more = {b.relation for r in self.own if r.head.relation in names for b in r.body if isinstance(b, Atom)} - names
+            names, grown = names | more, bool(more)
+        return any(n not in self.stored and n not in {r.head.relation for r in self.own} for n in names)
 
     def read(self, name: str) -> DataFrame:
-        return self.state.get(name, self.base.get(name))
+        held = self.state.get(name) or self.stored.get(name)
+        if held is None and self.computed is not None:
+            return _named(self.computed.read(name))
+        if held is None:
+            raise KeyError(name)
+        return held.rows()
 
     def advance(self, changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
         keep = self.scratch.keep
-        real = {}
+        old = {n: a.rows() for n, a in (self.stored | self.state).items()}
+        facts: dict[str, DataFrame] = {}  # effective changes of base facts
         for n, c in changes.items():
-            named = _named(c.drop(W)).columns
-            c = c.select(*[F.col(a).alias(b) for a, b in zip([x for x in c.columns if x != W], named)], W)
-            e = keep(effective(self.base[n], c), n)
+            names = [x for x in c.columns if x != W]
+            c = c.select(*[F.col(a).alias(f"c{i}") for i, a in enumerate(names)], F.col(W).cast("long").alias(W))
+            e = keep(effective(self.stored[n].rows(), c), n)
             if rows_of(e):
-                real[n] = e
-        old_base = dict(self.base)
-        for n, e in real.items():
-            self.base[n] = keep(apply_changes(old_base[n], e), n)
-        out = {n: e for n, e in real.items() if n not in self.state}
-        old = dict(self.state)
-        rules = list(self.rules.rules.values())
-        for component in components(rules):
-            own = [r for r in rules if r.head.relation in component]
-            inputs = {b.relation for r in own for b in r.body if isinstance(b, Atom)} | component
-            moved = {n for n in inputs if n in out or (n in real and n in component)}
-            if not moved:
+                facts[n] = e
+                self.stored[n].add(e)
+        out = {n: e for n, e in facts.items() if n not in self.state}
+        for component in components(self.own):
+            rules = [r for r in self.own if r.head.relation in component]
+            inputs = {b.relation for r in rules for b in r.body if isinstance(b, Atom)}
+            moved = {n: out[n] for n in inputs if n in out}
+            mine = {n: facts[n] for n in component if n in facts}
+            if self._opaque(rules):
+                found = self._afresh(rules, component)
+            elif not moved and not mine:
                 continue
-            before = {**old_base, **old}
-            now = {n: self.state.get(n, self.base.get(n)) for n in inputs if n not in component}
-            negated = {b.relation for r in own for b in r.body if isinstance(b, Atom) and b.negated}
-            gained = any(n in out and not out[n].where(F.col(W) > 0).isEmpty() for n in negated)
-            lost_base = any(n in real and not real[n].where(F.col(W) < 0).isEmpty() for n in component)
-            reborn = any(n in out and not out[n].where(F.col(W) < 0).isEmpty() for n in negated)
-            if gained or lost_base or reborn:
-                new = self._recompute(own, now)
+            elif self._recursive(rules, component):
+                found = self._dred(rules, component, old, moved, mine)
             else:
-                new = self._dred(own, component, before, now, {n: out[n] for n in moved if n in out}, {n: real[n] for n in component if n in real})
-            for h in component:
-                fresh = keep(new[h], h)
-                cols = fresh.columns
-                diff = keep(zset(fresh.join(old[h], cols, "left_anti"), 1).union(zset(old[h].join(fresh, cols, "left_anti"), -1)), h)
-                self.state[h] = fresh
+                found = self._counted(rules, next(iter(component)), old, moved, mine)
+            for h, diff in found.items():
+                diff = keep(diff, h)
                 if rows_of(diff):
+                    self.state[h].add(diff)
                     out[h] = diff
         self.version += 1
         return out
 
-    def _recompute(self, own, now) -> dict[str, DataFrame]:
-        heads = {r.head.relation for r in own}
-        tables = {**now, **{h: self.base[h] for h in heads if h in self.base}}
-        return RuleSet(own).fixpoint(_Reader(tables), scratch=self.scratch)
+    def _terms(self, rules, moved, old, now) -> dict[str, list[DataFrame]]:
+        """head -> ± derivations, one clause per changed atom and direction of change."""
+        out: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            for i, b in enumerate(r.body):
+                if isinstance(b, Atom) and b.relation in moved:
+                    look = lambda j, n, i=i: now(n) if j < i else old(n)
+                    for sign in (1, -1):
+                        rows = moved[b.relation].where(F.col(W) == sign).drop(W)
+                        out.setdefault(r.head.relation, []).append(zset(clause(_as_delta(r, i), None, i, rows, place=look, bag=True), -sign if b.negated else sign))
+        return out
 
-    def _dred(self, own, component, before, now, moved, new_base) -> dict[str, DataFrame]:
+    def _counted(self, rules, head, old, moved, mine) -> dict[str, DataFrame]:
+        terms = self._terms(rules, moved, lambda n: old[n], self.read).get(head, [])
+        cols = self.state[head].base.columns
+        empty = self.state[head].base.limit(0)
+        delta = self.scratch.keep(plus(*terms) if terms else zset(empty), head)
+        keys = self.scratch.keep(reduce(DataFrame.union, [m.drop(W) for m in mine.values()], delta.select(*cols)).distinct(), head)
+        support, _ = support_change(self.support[head].touched(keys), empty, delta)
+        self.support[head].add(delta)
+        shown = support.select(*cols)
+        if head in self.stored:
+            shown = shown.union(self.stored[head].touched(keys)).distinct()
+        shown = self.scratch.keep(shown, head)
+        was = self.scratch.keep(self.state[head].touched(keys), head)
+        return {head: zset(meet(shown, was, "left_anti"), 1).union(zset(meet(was, shown, "left_anti"), -1))}
+
+    def _afresh(self, rules, component) -> dict[str, DataFrame]:
+        held = {h: self.stored[h].rows() for h in component if h in self.stored}
+        outside = {b.relation: self.read(b.relation) for r in rules for b in r.body if isinstance(b, Atom) and b.relation not in component}
+        new = RuleSet(rules).fixpoint(_Reader({**outside, **held}), scratch=self.scratch)
+        return {h: zset(df.subtract(self.state[h].rows()), 1).union(zset(self.state[h].rows().subtract(df), -1)) for h, df in new.items()}
+
+    def _dred(self, rules, component, old, moved, mine) -> dict[str, DataFrame]:
         keep = self.scratch.keep
+        part = lambda z, sign: z.where(F.col(W) == sign).drop(W)
+
         # 1. Overdelete what used a lost row, transitively, over the old state.
-        lost = {n: c.where(F.col(W) < 0).drop(W) for n, c in moved.items()}
-        lost = {n: d for n, d in lost.items() if not d.isEmpty()}
+        hit: dict[str, list[DataFrame]] = {h: [part(c, -1)] for h, c in mine.items()}
+        for r in rules:
+            for i, b in enumerate(r.body):
+                if isinstance(b, Atom) and b.relation in moved:
+                    hit.setdefault(r.head.relation, []).append(clause(_as_delta(r, i), lambda n: old[n], i, part(moved[b.relation], 1 if b.negated else -1)))
         dead: dict[str, DataFrame] = {}
-        front = dict(lost)
-        while front:
-            hit: dict[str, list[DataFrame]] = {}
-            for r in own:
-                for i, b in enumerate(r.body):
-                    if isinstance(b, Atom) and not b.negated and b.relation in front:
-                        hit.setdefault(r.head.relation, []).append(clause(r, lambda n: before[n], i, front[b.relation]))
+        while hit:
             front = {}
             for h, parts in hit.items():
-                d = reduce(DataFrame.union, parts).distinct().join(before[h], before[h].columns, "left_semi")
-                if h in self.base:
-                    d = d.join(self.base[h], d.columns, "left_anti")
+                d = meet(old[h], keep(reduce(DataFrame.union, parts).distinct(), h), "left_semi")
+                if h in self.stored:
+                    d = absent(d, self.stored[h].rows())
                 if h in dead:
-                    d = d.join(dead[h], d.columns, "left_anti")
+                    d = meet(d, dead[h], "left_anti")
                 d = keep(d, h)
                 if rows_of(d):
                     dead[h] = keep(dead[h].union(d), h) if h in dead else d
                     front[h] = d
-        alive = {h: keep(before[h].join(dead[h], before[h].columns, "left_anti"), h) if h in dead else before[h] for h in component}
-        # 2. Rederive the dead that still have a derivation, and spread what is new.
-        look = lambda n: alive[n] if n in alive else now[n]
-        grown: dict[str, list[DataFrame]] = {h: [] for h in component}
-        for r in own:
+            hit = {}
+            for r in rules:
+                for i, b in enumerate(r.body):
+                    if isinstance(b, Atom) and not b.negated and b.relation in front:
+                        hit.setdefault(r.head.relation, []).append(clause(r, lambda n: old[n], i, front[b.relation]))
+        alive = {h: meet(old[h], dead[h], "left_anti") if h in dead else old[h] for h in component}
+
+        # 2. Rederive the dead from what is left, starting at them, and spread what is new.
+        grown: dict[str, DataFrame] = {}
+        look = lambda n: (alive[n].union(grown[n]) if n in grown else alive[n]) if n in alive else self.read(n)
+        found: dict[str, list[DataFrame]] = {h: [part(c, 1)] for h, c in mine.items()}
+        for r in rules:
             h = r.head.relation
             if h in dead:
-                grown[h].append(clause(r, look).join(dead[h], dead[h].columns, "left_semi"))
+                found.setdefault(h, []).append(clause(Rule(r.head, (Atom("", r.head.args), *r.body)), look, 0, dead[h]))
             for i, b in enumerate(r.body):
-                if isinstance(b, Atom) and not b.negated and b.relation in moved:
-                    plus_ = moved[b.relation].where(F.col(W) > 0).drop(W)
-                    grown[h].append(clause(r, look, i, plus_))
-        for h, c in new_base.items():
-            grown[h].append(c.where(F.col(W) > 0).drop(W))
-        delta = self._novel(grown, alive)
-        while delta:
-            alive = {h: keep(alive[h].union(delta[h]), h) if h in delta else alive[h] for h in component}
-            grown = {h: [] for h in component}
-            for r in own:
+                if isinstance(b, Atom) and b.relation in moved:
+                    found.setdefault(h, []).append(clause(_as_delta(r, i), look, i, part(moved[b.relation], -1 if b.negated else 1)))
+        while found:
+            fresh = {}
+            for h, parts in found.items():
+                d = keep(absent(keep(reduce(DataFrame.union, parts).distinct(), h), look(h)), h)
+                if rows_of(d):
+                    fresh[h] = d
+            for h, d in fresh.items():
+                grown[h] = keep(grown[h].union(d), h) if h in grown else d
+            found = {}
+            for r in rules:
                 for i, b in enumerate(r.body):
-                    if isinstance(b, Atom) and not b.negated and b.relation in delta:
-                        grown[r.head.relation].append(clause(r, lambda n: alive[n] if n in alive else now[n], i, delta[b.relation]))
-            delta = self._novel(grown, alive)
-        return alive
-
-    def _novel(self, grown, alive) -> dict[str, DataFrame]:
+                    if isinstance(b, Atom) and not b.negated and b.relation in fresh:
+                        found.setdefault(r.head.relation, []).append(clause(r, look, i, fresh[b.relation]))
         out = {}
-        for h, parts in grown.items():
-            if parts:
-                d = self.scratch.keep(reduce(DataFrame.union, parts).distinct().join(alive[h], alive[h].columns, "left_anti"), h)
-                if rows_of(d):
-                    out[h] = d
+        for h in set(dead) | set(grown):
+            none = old[h].limit(0)
+            lost, won = dead.get(h, none), grown.get(h, none)
+            out[h] = zset(meet(won, lost, "left_anti"), 1).union(zset(meet(lost, won, "left_anti"), -1))
         return out
 
+    def check(self) -> None:
+        """Fails if a maintained head differs from its rules evaluated afresh."""
+        facts = {n: a.rows() for n, a in self.stored.items()}
+        for h, df in RuleSet(self.own).fixpoint(_Layered(facts, self.computed), scratch=self.scratch).items():
+            now = self.read(h)
+            if not df.subtract(now).isEmpty() or not now.subtract(df).isEmpty():
+                raise NegativeSupport(f"{h} has drifted from its rules")
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+class _Layered:
+    def __init__(self, tables, computed):
+        self.tables, self.computed = tables, computed
+
+    def read(self, name: str) -> DataFrame:
+        if name in self.tables or self.computed is None:
+            return self.tables[name]
+        return _named(self.computed.read(name))
 
 
-__all__ = ["MaintainedView", "NegativeSupport", "W", "anti_delta", "apply_changes", "consolidate", "delta_join", "effective", "negate", "plus", "strata", "support_change", "visible", "zset"]
+def _named(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

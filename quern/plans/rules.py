@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..relation import RelationError
-from ..runtime import Scratch, rows_of
+from ..runtime import Scratch, plan_bytes, rows_of
 from .atoms import Var, match
 
 
@@ -129,49 +129,52 @@ def _columns(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
 
-def clause(r: Rule, read, delta_at: int | None = None, delta: DataFrame | None = None) -> DataFrame:
+def clause(r: Rule, read, delta_at: int | None = None, delta: DataFrame | None = None, *, place=None, bag: bool = False) -> DataFrame:
     """One rule as a plan: joins in connected order from the delta on, then guards and
-    anti-joins as soon as their variables are bound. Catalyst orders and pushes the rest."""
-    positive = [(i, b) for i, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated]
-    later = [b for b in r.body if not (isinstance(b, Atom) and not b.negated)]
-    order = sorted(positive, key=lambda x: x[0] != delta_at) if delta_at is not None else list(positive)
+    anti-joins as soon as their variables are bound. Of the atoms that connect, the one the
+    optimizer puts smallest goes first; Catalyst pushes the rest. ``place`` reads an atom by
+    its place in the body as well as its name; ``bag`` keeps one row per derivation."""
+    look = place or (lambda i, name: read(name))
+    later = [(i, b) for i, b in enumerate(r.body) if not (isinstance(b, Atom) and not b.negated)]
+    order = [(i, match(delta if i == delta_at and delta is not None else look(i, b.relation), list(b.args))) for i, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated]
+    sized = {i: plan_bytes(rows) if len(order) > 2 else i for i, rows in order}
+    order.sort(key=lambda x: (x[0] != delta_at, sized[x[0]]))
     out: DataFrame | None = None
 
     def ready(df: DataFrame) -> DataFrame:
         nonlocal later
         rest = []
-        for b in later:
+        for i, b in later:
             if set(b.vars) <= set(df.columns):
-                df = _negate(df, b, read) if isinstance(b, Atom) else _guard(df, b)
+                df = _negate(df, match(look(i, b.relation), list(b.args))) if isinstance(b, Atom) else _guard(df, b)
             else:
-                rest.append(b)
+                rest.append((i, b))
         later = rest
         return df
 
     while order:
-        k = 0 if out is None else next((j for j, (_, b) in enumerate(order) if set(b.vars) & set(out.columns)), 0)
-        i, b = order.pop(k)
-        rows = match(delta if i == delta_at and delta is not None else read(b.relation), list(b.args))
+        k = 0 if out is None else next((j for j, (_, rows) in enumerate(order) if set(rows.columns) & set(out.columns)), 0)
+        _, rows = order.pop(k)
         if out is None:
-            out = rows if rows.columns else rows.withColumn("__unit", F.lit(1)).distinct()
+            out = rows if rows.columns else rows.withColumn("__unit", F.lit(1))
+            out = out if rows.columns or bag else out.distinct()
         else:
-            out = _join(out, rows)
+            out = _join(out, rows, bag)
         out = ready(out)
     return out.select(*[F.col(f"`{a.name}`").alias(f"c{k}") if isinstance(a, Var) else F.lit(a).alias(f"c{k}") for k, a in enumerate(r.head.args)])
 
 
-def _join(left: DataFrame, right: DataFrame) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, bag: bool) -> DataFrame:
     shared = [c for c in right.columns if c in left.columns]
     lk, rk = dict(left.dtypes), dict(right.dtypes)
     if any(lk[c] != rk[c] for c in shared):
         return left.limit(0).join(right.drop(*shared).limit(0)) if len(shared) < len(right.columns) else left.limit(0)
-    if not right.columns:
+    if not right.columns and not bag:
         return left if not right.isEmpty() else left.limit(0)
     return left.join(right, shared, "inner") if shared else left.crossJoin(right)
 
 
-def _negate(df: DataFrame, b: Atom, read) -> DataFrame:
-    rows = match(read(b.relation), list(b.args))
+def _negate(df: DataFrame, rows: DataFrame) -> DataFrame:
     if not rows.columns:
         return df if rows.isEmpty() else df.limit(0)
     lk, rk = dict(df.dtypes), dict(rows.dtypes)

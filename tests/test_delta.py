@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quern.operators import delta as D
+from quern.plans.atoms import HOLE
 from quern.plans.rules import RuleSet, atom, guard, rule
 from quern.runtime import Scratch
 
@@ -23,24 +24,33 @@ def change(spark, plus=(), minus=()):
     return D.zset(frame(spark, plus), 1).union(D.zset(frame(spark, minus), -1))
 
 
-@pytest.mark.parametrize("kind", ["cycle", "negation"])
+@pytest.mark.parametrize("kind", ["cycle", "negation", "ringed"])
 def test_incremental_equals_recompute(spark, rows, kind):
     rng = random.Random(7)
     rules = {
         "cycle": [rule(atom("Reach", "?x", "?y"), atom("Edge", "?x", "?y")), rule(atom("Reach", "?x", "?z"), atom("Reach", "?x", "?y"), atom("Edge", "?y", "?z"))],
         "negation": [rule(atom("Pair", "?x", "?z"), atom("Edge", "?x", "?y"), atom("Edge", "?y", "?z"), guard("?x", "<", "?z")),
                      rule(atom("Lone", "?x"), atom("Edge", "?x", "?y"), ~atom("Pair", "?x", "?y"))],
+        # A negation under the recursion, base facts in the recursive head, a ground atom.
+        "ringed": [rule(atom("Far", "?x", "?y"), atom("Edge", "?x", "?y"), ~atom("Loop", "?x")), rule(atom("Far", "?x", "?z"), atom("Far", "?x", "?y"), atom("Edge", "?y", "?z")),
+                   rule(atom("Loop", "?x"), atom("Edge", "?x", "?x")), rule(atom("Odd", "?x"), atom("Edge", "?x", HOLE), atom("Edge", 1, HOLE))],
     }[kind]
+    far = {(0, 9), (1, 9)}
     rs = RuleSet(rules)
     now = {(rng.randrange(4), rng.randrange(4)) for _ in range(5)}
-    view = D.MaintainedView(rs, {"Edge": frame(spark, now)}, Scratch(spark))
+    stored = lambda: {"Edge": frame(spark, now), **({"Far": frame(spark, far)} if kind == "ringed" else {})}
+    view = D.MaintainedView(rs, stored(), Scratch(spark))
     before = {h: set(rows(view.read(h))) for h in rs.heads}
     for _ in range(3):
         plus = {(rng.randrange(4), rng.randrange(4)) for _ in range(2)} - now
         minus = set(rng.sample(sorted(now), 1))
         now = (now - minus) | plus
-        out = view.advance({"Edge": change(spark, plus, minus)})
-        full = rs.fixpoint(Reader({"Edge": frame(spark, now)}))
+        changes = {"Edge": change(spark, plus, minus)}
+        if kind == "ringed":
+            changes["Far"] = change(spark, [(2, 9)], [(0, 9)])
+            far = (far - {(0, 9)}) | {(2, 9)}
+        out = view.advance(changes)
+        full = rs.fixpoint(Reader(stored()))
         for h in rs.heads:
             want = set(rows(full[h]))
             assert set(rows(view.read(h))) == want
@@ -49,6 +59,36 @@ def test_incremental_equals_recompute(spark, rows, kind):
             before[h] = want
 
 
+def test_arrangement_compacts(spark, rows):
+    a = D.Arrangement(Scratch(spark), frame(spark, [(1, 1), (2, 2), (None, 3)]), every=3)
+    for plus, minus in (([(3, 3)], [(1, 1)]), ([(1, 1)], [(3, 3)]), ([], [(None, 3)]), ([(4, 4)], [])):
+        a.add(change(spark, plus, minus))
+    assert rows(a.rows()) == [(1, 1), (2, 2), (4, 4)] and len(a.deltas) == 1
+    assert rows(a.touched(frame(spark, [(4, 4), (9, 9)]))) == [(4, 4)]
+
+
+def test_computed_relations_are_evaluated_afresh(spark, rows):
+    class Made:
+        def read(self, name):
+            return frame(spark, [(x,) for x in self.values], "x long")
+
+    made = Made()
+    made.values = [1, 2]
+    rs = RuleSet([rule(atom("P", "?x"), atom("Edge", "?x", "?y"), atom("Made", "?x")), rule(atom("Q", "?x"), atom("P", "?x"))])
+    view = D.MaintainedView(rs, {"Edge": frame(spark, [(1, 2), (3, 4)])}, Scratch(spark), computed=made)
+    made.values = [3]
+    out = view.advance({})
+    assert rows(out["Q"]) == [(1, -1), (3, 1)] and rows(view.read("P")) == [(3,)]
+    view.check()
+    view.state["Q"].add(change_one(spark, 7))
+    with pytest.raises(D.NegativeSupport):
+        view.check()
+
+
+def change_one(spark, x):
+    return D.zset(frame(spark, [(x,)], "c0 long"))
+
+
 def test_unmoved_input_does_nothing(spark):
     rs = RuleSet([rule(atom("P", "?x"), atom("Edge", "?x", "?y"))])
     view = D.MaintainedView(rs, {"Edge": frame(spark, [(1, 2)])}, Scratch(spark))
