@@ -170,7 +170,7 @@ class MaintainedView:
 
     ``computed`` reads relations that are made at scan time and have no changes; what
     depends on them is evaluated afresh and compared. ``targets`` keeps only what those
-    heads depend on.
+    heads depend on. ``copy=False`` takes base frames as they are, for ones already kept.
     """
 
     rules: RuleSet
@@ -178,12 +178,13 @@ class MaintainedView:
     scratch: Scratch
     computed: Any = None
     targets: Iterable[str] | None = None
+    copy: bool = True
     version: int = 0
 
     def __post_init__(self) -> None:
         self.own = self.rules.needed(self.targets if self.targets is not None else self.rules.heads)
         keep = self.scratch.keep
-        self.stored = {n: Arrangement(self.scratch, keep(_named(df), n)) for n, df in self.base.items()}
+        self.stored = {n: Arrangement(self.scratch, keep(_named(df), n) if self.copy else _named(df)) for n, df in self.base.items()}
         self.state: dict[str, Arrangement] = {}
         self.support: dict[str, Arrangement] = {}
         for component in components(self.own):

@@ -65,7 +65,7 @@ def build_hierarchy(
         open_ = still
         now = moving.where("not settled")
         gained = now.groupBy(F.col("jump").alias("__t")).agg(F.sum("n").alias("__g"))
-        far = reduce(DataFrame.unionByName, [u.where("settled") for u in ups], now).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("least").alias("__l"), F.col("settled").alias("__s"))
+        far = _together([u.where("settled") for u in ups] + [now]).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("least").alias("__l"), F.col("settled").alias("__s"))
         step = now.join(far, F.col("jump") == F.col("__n")).join(gained, F.col("node") == F.col("__t"), "left").select(
             "node", F.col("__j").alias("jump"), (F.col("n") + F.coalesce("__g", F.lit(0))).alias("n"), F.least("least", "__l").alias("least"), F.col("__s").alias("settled"))
         moving = s.keep(step, "up", local=False)
@@ -73,8 +73,8 @@ def build_hierarchy(
     caught = moving.where("not settled") if still else None
 
     # What is settled is in a tree; sizes are the hand-overs of all rounds, roots' their nodes.
-    rooted = reduce(DataFrame.unionByName, [u.where("settled") for u in ups]).select("node", F.col("jump").alias("root"))
-    handed = reduce(DataFrame.unionByName, [u.where("not settled").select(F.col("jump").alias("node"), F.col("n").alias("size")) for u in ups])
+    rooted = _together([u.where("settled") for u in ups]).select("node", F.col("jump").alias("root"))
+    handed = _together([u.where("not settled").select(F.col("jump").alias("node"), F.col("n").alias("size")) for u in ups])
     whole = rooted.select(F.col("root").alias("node"), F.lit(1).cast("long").alias("size"))
     sizes = handed.unionByName(whole).groupBy("node").agg((F.sum("size") + 1).alias("__size"))
     tree = linked.join(rooted, "node").join(sizes, "node", "left").select("node", "parent", "root", F.coalesce("__size", F.lit(1)).alias("size"))
@@ -90,11 +90,11 @@ def build_hierarchy(
     downs = [moving]
     for _ in range(len(ups) - (2 if caught is not None else 1)):
         now = moving.where("not settled")
-        far = reduce(DataFrame.unionByName, [u.where("settled") for u in downs], now).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("lft").alias("__l"), F.col("settled").alias("__s"))
+        far = _together([u.where("settled") for u in downs] + [now]).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("lft").alias("__l"), F.col("settled").alias("__s"))
         step = now.join(far, F.col("jump") == F.col("__n")).select("node", F.col("__j").alias("jump"), (F.col("lft") + F.col("__l")).alias("lft"), F.col("__s").alias("settled"))
         moving = s.keep(step, "down", local=False)
         downs.append(moving)
-    at = reduce(DataFrame.unionByName, [u.where("settled") for u in downs]).select("node", "lft")
+    at = _together([u.where("settled") for u in downs]).select("node", "lft")
 
     # Roots: children without parent, and parents that are nobody's child.
     tops = base.where("parent is null").select("node", F.lit(True).alias("is_child")).unionByName(
@@ -113,6 +113,12 @@ def build_hierarchy(
     return out.unionByName(ringed)
 
 
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """The rounds' tables as one scan: late rounds write little, and a task for each of
+    their files would cost more than what it reads."""
+    return reduce(DataFrame.unionByName, tables).coalesce(tables[0].sparkSession.sparkContext.defaultParallelism)
+
+
 def _rings(s: Scratch, caught: DataFrame, ups: list[DataFrame]) -> DataFrame:
     """(node, root) of the nodes that run into a ring; the root is its smallest node.
 

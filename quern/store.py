@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import json
 import threading
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import Catalog, RelationMeta
-from .operators.delta import W, apply_changes, effective, zset
-from .plans.rules import Rule, RuleSet, atom, guard, rule
-from .runtime import Scratch
+from .operators.delta import Arrangement, MaintainedView, absent, apply_changes, effective, meet, plus, zset
+from .plans.rules import Atom, Rule, RuleSet, atom, guard, rule
+from .runtime import Scratch, maybe_broadcast, rows_of
 
 COMPACT_AFTER = 8  # delta batches
+LOG_KEPT = 1_000  # commits that a subscription can resume from
 
 
 class Conflict(RuntimeError):
@@ -66,24 +70,34 @@ class Commit:
     version: int
     changes: dict[str, DataFrame]
     catalog_changes: list[dict] = field(default_factory=list)
+    visible: dict[str, DataFrame] = field(default_factory=dict)  # of warm derived relations
 
 
 class Store:
+    """Relations, rules and their versions. A relation is held as an arrangement: a base and
+    the ± rows of the commits since, so a commit costs what it changes and one look at the
+    touched rows, and the base is written again every COMPACT_AFTER commits alone."""
+
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path
         self.catalog, self.rules = Catalog(), RuleSet()
         self.scratch = Scratch(spark)
         self.version = 0
-        self.tables: dict[str, DataFrame] = {}
-        self.log: list[Commit] = []
-        self._lock = threading.Lock()
+        self.held: dict[str, Arrangement] = {}
+        self.log: deque[Commit] = deque(maxlen=LOG_KEPT)
+        self.warm: dict[str, MaintainedView] = {}
+        self._lock = threading.RLock()
         self._files: dict[str, dict] = {}
         self.listeners: list = []
 
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: a.rows() for n, a in self.held.items()}
+
     # -- catalog -----------------------------------------------------------------------
     def make_relation(self, name: str, schema: str, **options) -> RelationMeta:
         meta = self.catalog.create(RelationMeta(name, schema, **options))
-        self.tables[name] = self.spark.createDataFrame([], schema)
+        self.held[name] = Arrangement(self.scratch, self.spark.createDataFrame([], schema), every=1 << 30)
         self._files[name] = {"snapshot": None, "deltas": []}
         self._publish({}, [{"change": "RelationCreated", "relation": name, "functional": meta.policy == "functional"}])
         return meta
@@ -103,59 +117,91 @@ class Store:
 
     # -- reading -----------------------------------------------------------------------
     def snapshot(self) -> Snapshot:
-        return Snapshot(self.version, dict(self.tables), _frozen(self.rules))
+        return Snapshot(self.version, self.tables, _frozen(self.rules))
 
     def read(self, name: str) -> DataFrame:
-        return self.snapshot().read(name)
+        return self.warm[name].read(name) if name in self.warm else self.snapshot().read(name)
+
+    def keep_warm(self, name: str) -> None:
+        """Maintains a derived relation from now on: commits bring its visible changes."""
+        if name in self.rules.heads and name not in self.warm:
+            needed = self.rules.needed([name])
+            used = {name} | {b.relation for r in needed for b in r.body if isinstance(b, Atom)} | {r.head.relation for r in needed}
+            self.warm[name] = MaintainedView(_frozen(self.rules), {n: df for n, df in self.tables.items() if n in used}, self.scratch, targets=[name], copy=False)
 
     def begin(self) -> Transaction:
         return Transaction(self, self.snapshot())
 
     # -- committing --------------------------------------------------------------------
-    def _publish(self, changes: dict[str, DataFrame], catalog_changes: list[dict], tables: dict[str, DataFrame] | None = None) -> Commit:
+    def _publish(self, changes: dict[str, DataFrame], catalog_changes: list[dict]) -> Commit:
+        """Writes the change rows, then the manifest, and only then changes anything here: a
+        write that fails leaves the store as it was, and the version can be tried again."""
         version = self.version + 1
+        files = {n: {"snapshot": f["snapshot"], "deltas": list(f["deltas"])} for n, f in self._files.items()}
+        held = {}
         for name, df in changes.items():
-            if self.path and self.catalog.relations[name].durability == "durable":
+            a = self.held[name]
+            durable = self.path and self.catalog.relations[name].durability == "durable"
+            if durable:
                 folder = f"{self.path}/commits/v={version:012d}/{name}"
-                df.write.parquet(folder)
-                f = self._files[name]
-                f["deltas"].append(folder)
-                if len(f["deltas"]) >= COMPACT_AFTER:
-                    f["snapshot"], f["deltas"] = f"{self.path}/snapshots/v={version:012d}/{name}", []
-                    tables[name].write.parquet(f["snapshot"])
-                    tables[name] = self.spark.read.schema(tables[name].schema).parquet(f["snapshot"])
+                df.write.mode("overwrite").parquet(folder)
+                files[name]["deltas"].append(folder)
+                df = self.spark.read.schema(df.schema).parquet(folder)
+            held[name] = Arrangement(self.scratch, a.base, every=1 << 30, deltas=[*a.deltas, df])
+            if len(held[name].deltas) >= COMPACT_AFTER:
+                rows = held[name].rows()
+                if durable:
+                    files[name] = {"snapshot": f"{self.path}/snapshots/v={version:012d}/{name}", "deltas": []}
+                    rows.write.mode("overwrite").parquet(files[name]["snapshot"])
+                    rows = self.spark.read.schema(rows.schema).parquet(files[name]["snapshot"])
+                else:
+                    rows = self.scratch.keep(rows, name)
+                held[name] = Arrangement(self.scratch, rows, every=1 << 30)
         if self.path:
-            self._write_manifest(version)
-        self.tables.update(tables or {})
+            self._write_manifest(version, files)
+        self._files = files
+        self.held |= held
         self.version = version
         commit = Commit(version, changes, catalog_changes)
+        if catalog_changes:  # rules or relations moved: views are compared with what they were
+            for name in list(self.warm):
+                was = self.warm.pop(name).read(name)
+                self.keep_warm(name)
+                now = (self.warm[name].read(name) if name in self.warm else self.tables.get(name, was.limit(0))).toDF(*was.columns)
+                commit.visible[name] = self.scratch.keep(zset(absent(now, was), 1).union(zset(absent(was, now), -1)), name)
+        else:
+            for name, view in self.warm.items():
+                out = view.advance({n: c for n, c in changes.items() if n in view.stored})
+                if name in out:
+                    commit.visible[name] = out[name]
         self.log.append(commit)
         for listen in list(self.listeners):
             listen(commit)
         return commit
 
-    def _manifest(self, version: int) -> dict:
+    def _manifest(self, version: int, files: dict) -> dict:
         durable = {n: m for n, m in self.catalog.relations.items()}
         return {
-            "format": 1, "version": version, "files": self._files,
+            "format": 1, "version": version, "files": files,
             "relations": [{"name": m.name, "schema": m.schema, "policy": m.policy, "keys": list(m.keys), "durability": m.durability, "arguments": list(m.arguments)} for m in durable.values()],
             "rules": {k: rule_to_json(r) for k, r in self.rules.rules.items()}, "disabled": {k: rule_to_json(r) for k, r in self.rules.disabled.items()},
         }
 
-    def _write_manifest(self, version: int) -> None:
+    def _write_manifest(self, version: int, files: dict) -> None:
         jvm = self.spark._jvm
         final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{version:012d}.json")
         part = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/.{version:012d}.tmp")
         fs = final.getFileSystem(self.spark._jsc.hadoopConfiguration())
         out = fs.create(part, True)
-        out.write(bytearray(json.dumps(self._manifest(version)).encode()))
+        out.write(bytearray(json.dumps(self._manifest(version, files)).encode()))
         out.close()
         if not fs.rename(part, final):
             raise Conflict(f"version {version} exists already")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Store:
-        """The store as of its last whole commit; volatile relations come back empty."""
+    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> Store:
+        """The store as of its last whole commit, or as of an earlier ``version`` of it;
+        volatile relations come back empty."""
         store = cls(spark, path)
         jvm = spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
@@ -163,6 +209,8 @@ class Store:
         if not fs.exists(folder):
             return store
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        if version is not None:
+            names = [n for n in names if int(n[:-5]) <= version]
         if not names:
             return store
         m = json.loads(spark.read.text(f"{path}/manifests/{names[-1]}", wholetext=True).first()[0])
@@ -174,9 +222,7 @@ class Store:
             empty = spark.createDataFrame([], meta.schema)
             f = m["files"][meta.name]
             df = spark.read.schema(empty.schema).parquet(f["snapshot"]) if f["snapshot"] else empty
-            for d in f["deltas"]:
-                df = apply_changes(df, spark.read.parquet(d))
-            store.tables[meta.name] = df
+            store.held[meta.name] = Arrangement(store.scratch, df, every=1 << 30, deltas=[spark.read.parquet(d) for d in f["deltas"]])
         for k, r in m["rules"].items():
             store.rules.install(rule_from_json(r, k))
         store.rules.disabled = {k: rule_from_json(r, k) for k, r in m["disabled"].items()}
@@ -184,7 +230,6 @@ class Store:
 
 
 def rule_to_json(r: Rule) -> dict:
-    from .plans.rules import Atom
     from .plans.atoms import Var
 
     arg = lambda a: {"v": a.name} if isinstance(a, Var) else {"c": a}
@@ -205,12 +250,14 @@ def rule_from_json(j: dict, key: str = "") -> Rule:
 
 
 class Transaction:
-    """A private overlay with read-your-own-writes over a snapshot."""
+    """A private overlay with read-your-own-writes over a snapshot: per relation the ± rows
+    that this transaction makes of it, never a copy of the relation."""
 
     def __init__(self, store: Store, snapshot: Snapshot):
         self.store, self.snapshot = store, snapshot
-        self.overlay: dict[str, DataFrame] = {}
+        self.pending: dict[str, DataFrame] = {}
         self.asserted: dict[str, DataFrame] = {}
+        self.sends: list[tuple[Any, Any]] = []
         self.closed = False
 
     def _frame(self, name: str, rows) -> DataFrame:
@@ -227,14 +274,21 @@ class Transaction:
         return self.store.spark.createDataFrame(rows, meta.schema)
 
     def base(self, name: str) -> DataFrame:
-        return self.overlay.get(name, self.snapshot.tables[name])
+        rows = self.snapshot.tables[name]
+        return apply_changes(rows, self.pending[name]) if name in self.pending else rows
 
     def read(self, name: str) -> DataFrame:
-        tables = {**self.snapshot.tables, **self.overlay}
+        """Stored and derived rows as this transaction would leave them. A derived relation
+        that the store keeps warm is read off its state with the pending changes applied."""
+        warm = self.store.warm.get(name)
+        if warm is not None and self.store.version == self.snapshot.version and not self.pending:
+            return warm.read(name)
+        tables = {**self.snapshot.tables, **{n: self.base(n) for n in self.pending}}
         return Snapshot(self.snapshot.version, tables, self.snapshot.rules).read(name)
 
     def _change(self, name: str, changes: DataFrame) -> None:
-        self.overlay[name] = self.store.scratch.keep(apply_changes(self.base(name), effective(self.base(name), changes)), name)
+        e = effective(self.base(name), changes)
+        self.pending[name] = self.store.scratch.keep(plus(self.pending[name], e) if name in self.pending else e, name)
 
     def assert_(self, name: str, rows) -> None:
         new = self._frame(name, rows)
@@ -246,9 +300,8 @@ class Transaction:
 
     def retract_where(self, name: str, bindings: list) -> None:
         """Every visible row that matches the bound values; None leaves a place open."""
-        df = self.base(name)
-        hit = df
-        for c, v in zip(df.columns, bindings):
+        hit = self.base(name)
+        for c, v in zip(hit.columns, bindings):
             if v is not None:
                 hit = hit.where(F.col(c) == F.lit(v))
         self._change(name, zset(hit, -1))
@@ -260,8 +313,9 @@ class Transaction:
             raise ValueError(f"{name} is not functional")
         new = self._frame(name, rows)
         keys = [meta.columns[k] for k in meta.keys]
-        old = self.base(name).join(new.select(*keys).distinct(), keys, "left_semi").select(*meta.columns).join(new, meta.columns, "left_anti")
-        self._change(name, zset(old, -1).union(zset(new, 1)))
+        held = self.base(name)
+        old = held.join(maybe_broadcast(new.select(*keys).distinct()), keys, "left_semi").select(*meta.columns)
+        self._change(name, zset(meet(old, new, "left_anti"), -1).union(zset(new, 1)))
 
     def reconcile(self, name: str, rows) -> None:
         """Makes the relation hold exactly these rows by the fewest changes."""
@@ -270,23 +324,33 @@ class Transaction:
         self._change(name, zset(want.subtract(have), 1).union(zset(have.subtract(want), -1)))
 
     def materialize_rules(self) -> None:
-        """Writes every derived relation that is also stored."""
+        """Writes every derived relation into a stored one of its name, made where there is none."""
         for head in sorted(self.snapshot.rules.heads):
-            if head in self.snapshot.tables:
-                self.reconcile(head, self.read(head))
+            rows = self.read(head)
+            if head not in self.snapshot.tables:
+                self.store.make_relation(head, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(rows.dtypes)))
+                self.snapshot = self.store.snapshot()
+            self.reconcile(head, rows)
 
     def destroy_identity(self, identity) -> int:
-        """Retracts every base fact with the identity in position 0; how many there were."""
-        n = 0
+        """Retracts every base fact with the identity in position 0, of whatever type that
+        holds it; how many there were. One job counts over all relations."""
+        kinds = ("bigint", "int", "smallint") if isinstance(identity, int) else ("string",)
+        hits = {}
         for name in self.snapshot.tables:
             df = self.base(name)
-            if dict(df.dtypes)[df.columns[0]] == ("bigint" if isinstance(identity, int) else "string"):
-                hit = df.where(F.col(df.columns[0]) == F.lit(identity))
-                k = hit.count()
-                if k:
-                    n += k
-                    self._change(name, zset(hit, -1))
-        return n
+            if df.columns and dict(df.dtypes)[df.columns[0]] in kinds:
+                hits[name] = df.where(F.col(df.columns[0]) == F.lit(identity))
+        if not hits:
+            return 0
+        found = reduce(DataFrame.union, [df.select(F.lit(n).alias("relation")) for n, df in hits.items()]).groupBy("relation").count().collect()
+        for r in found:
+            self._change(r.relation, zset(hits[r.relation], -1))
+        return sum(r["count"] for r in found)
+
+    def send(self, mailbox: Any, item: Any) -> None:
+        """A message that appears in the mailbox when this transaction commits, and not before."""
+        self.sends.append((mailbox, item))
 
     def require(self, condition: bool) -> None:
         if not condition:
@@ -294,41 +358,41 @@ class Transaction:
             raise RuntimeError("requirement not met; the transaction is aborted")
 
     def abort(self) -> None:
-        self.overlay, self.closed = {}, True
+        self.pending, self.sends, self.closed = {}, [], True
 
     def commit(self) -> Commit | None:
         """Persists, then publishes. Conflicts matter only if the version has moved: a set
-        row asserted again that was retracted meanwhile, or a functional key that changed."""
+        row asserted again that was retracted meanwhile, or a functional key that changed.
+        Only touched rows are looked up; no relation is written again."""
         if self.closed:
             raise RuntimeError("the transaction has ended")
         store = self.store
         with store._lock:
-            changes, tables = {}, {}
-            for name, after in self.overlay.items():
-                mine = self.snapshot.tables[name]
-                cols = mine.columns
-                diff = zset(after.subtract(mine), 1).union(zset(mine.subtract(after), -1))
+            changes = {}
+            for name, diff in self.pending.items():
                 if store.version != self.snapshot.version:
-                    self._check(name, mine, after, diff)
-                diff = store.scratch.keep(effective(store.tables[name], diff), name)
-                if not diff.isEmpty():
+                    self._check(name, diff)
+                    diff = store.scratch.keep(effective(store.tables[name], diff), name)
+                if rows_of(diff):
                     changes[name] = diff
-                    tables[name] = store.scratch.keep(apply_changes(store.tables[name], diff).select(*cols), name)
+            commit = store._publish(changes, []) if changes else None
             self.closed = True
-            return store._publish(changes, [], tables) if changes else None
+        for mailbox, item in self.sends:
+            mailbox.send(item)
+        return commit
 
-    def _check(self, name: str, mine: DataFrame, after: DataFrame, diff: DataFrame) -> None:
+    def _check(self, name: str, diff: DataFrame) -> None:
         store, meta = self.store, self.store.catalog.relations[name]
-        now, cols = store.tables[name], mine.columns
+        mine, now, cols = self.snapshot.tables[name], store.tables[name], meta.columns
         if meta.policy == "event_append":
             return
         if meta.policy == "functional":
             keys = [cols[k] for k in meta.keys]
-            touched = diff.select(*keys).distinct()
+            touched = maybe_broadcast(diff.select(*keys).distinct())
             was, is_ = mine.join(touched, keys, "left_semi").select(*cols), now.join(touched, keys, "left_semi").select(*cols)
             if not was.subtract(is_).isEmpty() or not is_.subtract(was).isEmpty():
                 raise Conflict(f"a key of {name} changed")
             return
         again = self.asserted.get(name)
-        if again is not None and not again.join(mine, cols, "left_semi").join(now, cols, "left_anti").isEmpty():
+        if again is not None and not absent(meet(mine, again, "left_semi"), now).isEmpty():
             raise Conflict(f"a row of {name} was retracted meanwhile")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.delta import W, MaintainedView, apply_changes
-from ..runtime import Scratch
+from ..runtime import Scratch, rows_of
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class Message:
 
 @dataclass
 class Mailbox:
-    """A FIFO queue in the driver; sends of a transaction appear when it commits."""
+    """A FIFO queue in the driver. Transaction.send holds its messages until the commit."""
 
     items: deque = field(default_factory=deque)
     closed: bool = False
@@ -72,13 +72,12 @@ class Subscription:
     def __post_init__(self) -> None:
         if self.subject not in ("facts", "relation", "catalogue"):
             raise ValueError(f"unknown subject {self.subject}")
-        self._seen: DataFrame | None = None
         if self.subject == "relation":
-            self._seen = self._keep(self.store.read(self.relation))
+            self.store.keep_warm(self.relation)
         if self.cursor is not None:
             self._resume()
         elif self.start == "snapshot" and self.subject != "catalogue":
-            rows = self._seen if self.subject == "relation" else self._keep(self.store.tables[self.relation])
+            rows = self._keep(self.store.read(self.relation) if self.subject == "relation" else self.store.tables[self.relation])
             self._put(Message("snapshot", self.store.version, self._filter(rows)))
         self.store.listeners.append(self._on_commit)
 
@@ -100,7 +99,8 @@ class Subscription:
     def _resume(self) -> None:
         since = [c for c in self.store.log if c.version > self.cursor]
         whole = self.cursor == self.store.version or (bool(since) and since[0].version == self.cursor + 1)
-        if not whole or self.subject == "relation" or any(c.catalog_changes for c in since):
+        derived = self.subject == "relation" and self.relation in self.store.rules.heads
+        if not whole or any(c.catalog_changes or (derived and c.changes and self.relation not in c.visible) for c in since):
             self._put(Message("resynchronize", self.store.version))
             return
         for c in since:
@@ -118,19 +118,13 @@ class Subscription:
         if self.subject == "catalogue":
             if commit.catalog_changes:
                 self._put(Message("catalogue", commit.version, None, tuple(map(str, commit.catalog_changes))))
-        elif self.subject == "facts":
-            if self.relation in commit.changes:
-                rows = self._filter(commit.changes[self.relation])
-                if not rows.isEmpty():
-                    self._put(Message("changes", commit.version, rows))
         else:
-            now = self._keep(self.store.read(self.relation))
-            cols = now.columns
-            diff = now.subtract(self._seen).withColumn(W, F.lit(1).cast("long")).union(self._seen.subtract(now).withColumn(W, F.lit(-1).cast("long")))
-            self._seen = now
-            diff = self._keep(self._filter(diff.select(*cols, W)))
-            if not diff.isEmpty():
-                self._put(Message("changes", commit.version, diff))
+            derived = self.subject == "relation" and (self.relation in self.store.warm or self.relation in commit.visible)
+            found = (commit.visible if derived else commit.changes).get(self.relation)
+            if found is not None:
+                rows = self._keep(self._filter(found))
+                if rows_of(rows):
+                    self._put(Message("changes", commit.version, rows))
 
     def cancel(self) -> None:
         self.active = False
