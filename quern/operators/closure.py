@@ -69,6 +69,11 @@ def reaches(edges: DataFrame, src: str, dst: str, start, goal, scratch: Scratch
     return False
 
 
+def materialize_closure(transaction, relation: str, edges: DataFrame, src: str, dst: str) -> None:
+    """Makes a stored relation hold exactly the closure, by the fewest changes."""
+    transaction.reconcile(relation, closure(edges, src, dst))
+
+
 def subject_facts(tables: dict[str, DataFrame], subject) -> DataFrame:
     """(subject, relation, fact): rows with the value in position 0, cells as strings."""
     return _facts(tables, subject, lambda i: i == 0).select("value", "relation", "fact").withColumnRenamed("value", "subject").distinct()

@@ -350,18 +350,18 @@ class MaintainedView:
     def check(self) -> None:
         """Fails if a maintained head differs from its rules evaluated afresh."""
         facts = {n: a.rows() for n, a in self.stored.items()}
-        for h, df in RuleSet(self.own).fixpoint(_Layered(facts, self.computed), scratch=self.scratch).items():
+        for h, df in RuleSet(self.own).fixpoint(_Layered(facts, self.computed, {r.head.relation for r in self.own}), scratch=self.scratch).items():
             now = self.read(h)
             if not df.subtract(now).isEmpty() or not now.subtract(df).isEmpty():
                 raise NegativeSupport(f"{h} has drifted from its rules")
 
 
 class _Layered:
-    def __init__(self, tables, computed):
-        self.tables, self.computed = tables, computed
+    def __init__(self, tables, computed, heads):
+        self.tables, self.computed, self.heads = tables, computed, heads
 
     def read(self, name: str) -> DataFrame:
-        if name in self.tables or self.computed is None:
+        if name in self.tables or name in self.heads or self.computed is None:
             return self.tables[name]
         return _named(self.computed.read(name))
 

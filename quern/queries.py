@@ -175,27 +175,6 @@ def one_per_key(spark, d):
 
 
 # -- mutation (M3-M8) ----------------------------------------------------------------------
-@_q("SELECT user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type FROM events GROUP BY user_id")
-def functional_replace(spark, d):
-    """A keyed upsert in order of time: the latest value per key."""
-    e = Relation(_t(spark, d, "events", "user_id", "event_type", "ts", "event_id"), is_set=True)
-    return top_by_key(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).df.select("user_id", "event_type")
-
-
-@_q("SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE NOT (c_mktsegment = 'BUILDING') UNION SELECT s_suppkey, 'SUPPLIER' FROM supplier")
-def assert_retract(spark, d):
-    base = _t(spark, d, "customer", F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
-    gone, new = base.where("v = 'BUILDING'"), _t(spark, d, "supplier", F.col("s_suppkey").alias("k"), F.lit("SUPPLIER").alias("v"))
-    return D.apply_changes(base, D.zset(gone, -1).union(D.zset(new, 1)))
-
-
-@_q(f"SELECT k, 1::BIGINT AS w FROM (({_B}) EXCEPT ({_A})) UNION ALL SELECT k, -1 FROM (({_A}) EXCEPT ({_B}))")
-def reconcile(spark, d):
-    """The fewest changes that turn one set into another."""
-    a, b = _two(spark, d)
-    return D.zset(b.difference(a).df, 1).union(D.zset(a.difference(b).df, -1)).withColumnRenamed(D.W, "w")
-
-
 # -- rules (R1-R16) ------------------------------------------------------------------------
 @_q("SELECT DISTINCT c_nationkey AS c0 FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
 def rule_clauses(spark, d):
@@ -363,38 +342,6 @@ def delta_join(spark, d):
     return D.plus(old, change).withColumnRenamed(D.W, "w")
 
 
-@_q("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id % 10 <> 0")
-def delta_support(spark, d):
-    """Support counts: rows stay while a derivation is left after retractions."""
-    e = read(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id")
-    support = D.consolidate(D.zset(e.select("user_id")))
-    lost = D.zset(e.where("event_id % 10 = 0").select("user_id"), -1)
-    new, _ = D.support_change(support, e.select("user_id").limit(0), lost)
-    return D.visible(new)
-
-
-@_q("""WITH l AS (SELECT DISTINCT c_custkey AS k FROM customer), r0 AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 10 <> 0),
-r1 AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
-SELECT k, -1::BIGINT AS w FROM ((SELECT k FROM l EXCEPT SELECT k FROM r0) EXCEPT (SELECT k FROM l EXCEPT SELECT k FROM r1))""")
-def delta_negation(spark, d):
-    left = _t(spark, d, "customer", F.col("c_custkey").alias("k"))
-    o = read(spark, d, "orders").where("o_orderstatus = 'P'")
-    old, new = o.where("o_orderkey % 10 <> 0").select(F.col("o_custkey").alias("k")).distinct(), o.select(F.col("o_custkey").alias("k")).distinct()
-    change = D.zset(new.subtract(old), 1)
-    return D.anti_delta(left, D.zset(left.limit(0)), old, change, ["k"]).withColumnRenamed(D.W, "w")
-
-
-@_q(f"""WITH RECURSIVE {_E}, e2 AS (SELECT a, b FROM e WHERE a NOT IN (3, 11) UNION SELECT 100::BIGINT, 1::BIGINT), p AS (SELECT a, b FROM e2 UNION SELECT p.a, e2.b FROM p JOIN e2 ON p.b = e2.a)
-SELECT a AS c0, b AS c1 FROM p""")
-def maintain_recursive(spark, d):
-    """Delete-and-rederive: a recursive view after edges left and one came."""
-    e = _edges(spark, d)
-    rs = RuleSet([rule(atom("Reach", "?x", "?y"), atom("Edge", "?x", "?y")), rule(atom("Reach", "?x", "?z"), atom("Reach", "?x", "?y"), atom("Edge", "?y", "?z"))])
-    view = D.MaintainedView(rs, {"Edge": e}, Scratch(spark))
-    view.advance({"Edge": D.zset(e.where("a in (3, 11)"), -1).union(D.zset(spark.createDataFrame([(100, 1)], "a long, b long"), 1))})
-    return view.read("Reach")
-
-
 # -- search (P4-P7) ----------------------------------------------------------------------
 @_q("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
 s AS (SELECT label AS subject, max(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS score FROM embeddings, q GROUP BY label)
@@ -557,16 +504,6 @@ def subject_facts(spark, d):
     return G.subject_facts({"Supplier": _t(spark, d, "supplier", "s_suppkey", "s_nationkey")}, 7).withColumn("fact", F.array_join("fact", "|"))
 
 
-@_q("SELECT * FROM (VALUES ('HeldBy', 2, 'set', 'durable'), ('Name', 2, 'functional', 'durable'), ('Session', 1, 'set', 'volatile')) t(relation, arity, policy, durability)")
-def catalog_reflection(spark, d):
-    c = Catalog()
-    c.create(RelationMeta("Name", "id long, name string", policy="functional", keys=(0,)))
-    c.create(RelationMeta("HeldBy", "item long, who long"))
-    c.create(RelationMeta("Session", "id long", durability="volatile"))
-    r = c.reflect(spark, RuleSet([rule(atom("Carried", "?i"), atom("HeldBy", "?i", "?w"))]))
-    return r["Arity"].join(r["ConflictPolicy"], "relation").join(r["RelationDurability"], "relation")
-
-
 # -- dispatch (X1-X5) ----------------------------------------------------------------------
 def _methods(spark):
     sel = spark.createDataFrame([("look_any", "look"), ("look_thing", "look"), ("look_lamp", "look"), ("put", "put")], "method string, selector string")

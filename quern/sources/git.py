@@ -154,3 +154,12 @@ def blame_hunks(blame: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("repository", "origin").orderBy("line"))
     runs = blame.withColumn("__run", F.col("line") - rank)
     return runs.groupBy("repository", "origin", "__run").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.first("name").alias("name"), F.first("summary").alias("summary")).drop("__run")
+
+
+def received_ref_updates(pushes: DataFrame, lines: str = "lines") -> DataFrame:
+    """GitReceivedRefUpdate: (repository, old, new, ref, kind) of the lines `old new ref` that a
+    receiving hook is given; kind is create (old is all noughts), delete (new is) or update."""
+    line = pushes.where(F.col(lines).isNotNull()).select("repository", F.explode(F.split(lines, "\n")).alias("__line")).where(F.trim("__line") != "")
+    part = F.split(F.trim("__line"), r"\s+", 3)
+    none = lambda c: c.rlike("^0+$")
+    return line.select("repository", part[0].alias("old"), part[1].alias("new"), part[2].alias("ref"), F.when(none(part[0]), "create").when(none(part[1]), "delete").otherwise("update").alias("kind"))

@@ -89,6 +89,7 @@ class Store:
         self._lock = threading.RLock()
         self._files: dict[str, dict] = {}
         self.listeners: list = []
+        self.hosted: dict[str, dict[str, DataFrame]] = {}
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -132,6 +133,24 @@ class Store:
     def begin(self) -> Transaction:
         return Transaction(self, self.snapshot())
 
+    # -- rows of endpoints -------------------------------------------------------------
+    def host_rows(self, endpoint: str, name: str, rows) -> None:
+        """Asserts rows into a volatile relation for as long as the endpoint is open."""
+        if self.catalog.relations[name].durability != "volatile":
+            raise ValueError(f"{name} is durable")
+        t = self.begin()
+        t.assert_(name, rows)
+        mine = self.hosted.setdefault(endpoint, {})
+        new = t.asserted[name]
+        mine[name] = mine[name].union(new) if name in mine else new
+        t.commit()
+
+    def close_endpoint(self, endpoint: str) -> None:
+        t = self.begin()
+        for name, rows in self.hosted.pop(endpoint, {}).items():
+            t.retract(name, rows)
+        t.commit()
+
     # -- committing --------------------------------------------------------------------
     def _publish(self, changes: dict[str, DataFrame], catalog_changes: list[dict]) -> Commit:
         """Writes the change rows, then the manifest, and only then changes anything here: a

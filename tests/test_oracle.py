@@ -5,11 +5,11 @@ import os
 
 import pytest
 
-from quern import pipeline_queries, queries
+from quern import pipeline_queries, queries, store_queries
 
 D = "/root/testdata/sf0.001"
-ALL = {**pipeline_queries.QUERIES, **queries.QUERIES}
-SQL = {**pipeline_queries.ORACLES, **queries.ORACLES}
+ALL = {**pipeline_queries.QUERIES, **queries.QUERIES, **store_queries.QUERIES}
+SQL = {**pipeline_queries.ORACLES, **queries.ORACLES, **store_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")
