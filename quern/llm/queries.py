@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..runtime import Scratch, read, spread
 from .chunks import split_oversized
@@ -85,6 +85,45 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(sized, targets, mix(sized, targets))
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized unit: do its pieces tile the text, fit, share with the one before what
+    that ends with, and, unless a line is too long, end at a line, sentence, clause or word?"""
+    units = read(spark, d, "indexed_text_unit").where(F.length("text") > 2000).select("unit", "ordinal", F.col("text").alias("whole"), F.xxhash64("text").alias("__h")).dropDuplicates(["unit", "ordinal", "__h"])
+    p = Scratch(spark).keep(_pieces(spark, d), "pieces", local=False)
+    by = p.groupBy("unit", "ordinal", "hard").agg(
+        F.array_sort(F.collect_list(F.struct("piece", "text", "shared"))).alias("ps"), F.max("n_chars").alias("most"), F.max("shared").alias("overlap"), F.max("pieces").alias("pieces"))
+    own = lambda x: F.substring(x["text"], x["shared"].cast("int") + 1, F.length(x["text"]))
+    pairs = F.zip_with(F.slice("ps", 1, F.size("ps") - 1), F.slice("ps", 2, F.size("ps") - 1), lambda a, b: F.endswith(a["text"], F.left(b["text"], b["shared"].cast("int"))))
+    natural = F.transform(F.slice("ps", 1, F.size("ps") - 1), lambda x: x["text"].rlike(r"[\s.,;:!?…–—、，；：。！？|>]$"))
+    x = by.join(units, ["unit", "ordinal"])
+    return x.select(
+        "unit", "ordinal", (F.array_join(F.transform("ps", own), "") == F.col("whole")).alias("tiled"), ((F.col("most") <= 2000) & (F.col("overlap") <= 200) & (F.size("ps") == F.col("pieces"))).alias("fit"),
+        F.forall(pairs, lambda b: b).alias("shared"), ((F.col("hard") == 1) | F.forall(natural, lambda b: b)).alias("natural"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether no container is overfull, every text is there whole and once, none is split that
+    fits, and the containers are at least 97 % full or the fewest possible."""
+    sized = _sized(spark, d)
+    packed = Scratch(spark).keep(pack(sized, item="doc_id", tokens="n_tokens"), "packed", local=False)
+    got = packed.groupBy("item").agg(F.sum("n_tokens").alias("packed"), F.count("*").alias("parts"), F.countDistinct("first_token").alias("places"))
+    docs = sized.where("n_tokens > 0").join(got, F.col("doc_id") == F.col("item"), "full_outer")
+    each = docs.agg(F.min((F.col("packed") == F.col("n_tokens")) & (F.col("parts") == F.col("places"))).alias("whole"), F.min((F.col("parts") == 1) | (F.col("n_tokens") > 2048)).alias("unsplit"))
+    r = pack_report(packed)
+    return r.crossJoin(each).select((F.col("fullest") <= 2048).alias("capacity"), "whole", "unsplit", ((F.col("fill") >= 0.97) | (F.col("containers") <= F.col("least_containers") + 1)).alias("filled"))  # two single rows
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: is its share of the mixture reached to within its largest document, and
+    no document used more often than allowed?"""
+    sized, targets = _sized(spark, d), read(spark, d, "mix_target")
+    shares = mixture_report(sized, targets, Scratch(spark).keep(mix(sized, targets), "mixed", local=False))
+    largest = sized.groupBy(F.col("source").alias("__s")).agg(F.max("n_tokens").alias("largest"))
+    x = shares.join(largest, F.col("source") == F.col("__s"), "left").withColumn("all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))  # a row per target
+    near = F.abs(F.col("mixed_tokens") - F.col("share") * F.col("all")) <= F.coalesce("largest", F.lit(0)) + F.col("share") * F.sum(F.coalesce("largest", F.lit(0))).over(Window.partitionBy(F.lit(0))) + 1
+    return x.select("source", near.alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(read(spark, d, "documents")).select("doc_id").distinct()
 
@@ -96,7 +135,7 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
     return flags.select("doc_id", "language", F.col("prose").cast("int").alias("prose"), "n", "types", *[F.round(m, 3).alias(m) for m in MEASURES], *[f"z_{m}" for m in MEASURES], "flag")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_pairs, p6_percentiles, p6_day_sketch, p6_combined, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_curves)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_checks, p5_found, p5_pairs, p6_percentiles, p6_day_sketch, p6_combined, p7_containers, p7_report, p7_checks, p8_mixture, p8_shares, p8_checks, p9_found, p9_curves)}
 
 _SAMPLES = " UNION ALL ".join(
     f"SELECT '{metric}' AS metric, {label} AS label, sample_id, min(recorded_at::DATE) AS day, min({duration}) AS value FROM {table} "
@@ -148,6 +187,9 @@ SELECT doc_id, language, prose::INTEGER AS prose, n::BIGINT AS n, types::BIGINT
   CASE WHEN abs(z_divergence) > 2 THEN 'divergence' WHEN abs(z_slope) > 3 THEN 'slope' WHEN abs(z_residual) > 3 THEN 'residual' END AS flag FROM z"""
 
 ORACLES = {
+    "p3_checks": "SELECT DISTINCT unit, ordinal, TRUE AS tiled, TRUE AS fit, TRUE AS shared, TRUE AS \"natural\" FROM indexed_text_unit WHERE length(text) > 2000",
+    "p7_checks": "SELECT TRUE AS capacity, TRUE AS whole, TRUE AS unsplit, TRUE AS filled",
+    "p8_checks": "SELECT DISTINCT source, TRUE AS share_kept, TRUE AS repeats_kept FROM mix_target WHERE source IS NOT NULL",
     "p9_curves": _CURVES,
     "p3_found": """
 SELECT DISTINCT unit, ordinal, (CASE WHEN list_max(list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: length(x))) > 2000 THEN 1 ELSE 0 END)::INTEGER AS hard
