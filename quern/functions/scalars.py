@@ -285,3 +285,104 @@ def embed_text(text, dimensions: int = 8) -> Column:
             yield b.map(one)
 
     return embed(_c(text))
+
+
+# -- logic, literals, tags, errors -------------------------------------------------------
+def and_(*xs, kinds: tuple[str, ...] | None = None) -> Column:
+    """The first of the operands that isn't true, else the last: operands of one type; what
+    stands behind the first false one isn't evaluated."""
+    return _chain(xs, kinds, stop_at=False)
+
+
+def or_(*xs, kinds: tuple[str, ...] | None = None) -> Column:
+    """The first true operand, else the last."""
+    return _chain(xs, kinds, stop_at=True)
+
+
+def _chain(xs, kinds, stop_at: bool) -> Column:
+    kinds = kinds or ("boolean",) * len(xs)
+    *first, last = [_c(x) for x in xs]
+    out = last
+    for x, kind in reversed(list(zip(first, kinds))):
+        met = truthy(x, kind)
+        out = F.when(met if stop_at else ~met, x).otherwise(out)
+    return out
+
+
+def list_literal(*parts) -> Column:
+    """[a, @b, c]: single values and, wrapped in ``splice``, the elements of lists."""
+    return F.concat(*[p.column if isinstance(p, splice) else F.array(_c(p)) for p in parts])
+
+
+class splice:
+    """@xs in a list literal or an argument list: the elements in place of the list."""
+
+    def __init__(self, xs):
+        self.column = _c(xs)
+
+
+def map_literal(*pairs) -> Column:
+    """{k -> v, ...} in key order; of equal keys the last value wins. Keys of one type."""
+    keys, values = F.array(*[_c(k) for k, _ in pairs]), F.array(*[_c(v) for _, v in pairs])
+    kept = F.array_sort(F.array_distinct(keys))
+    last = F.transform(kept, lambda k: F.element_at(values, (F.size(keys) - F.array_position(F.reverse(keys), k) + 1).cast("int")))
+    return F.map_from_arrays(kept, last)
+
+
+def to_symbol(name) -> Column:
+    """A symbol as struct<symbol>: it equals symbols of its name and no string; null for null."""
+    return F.when(_c(name).isNotNull(), F.struct(_c(name).cast("string").alias("symbol")))
+
+
+def is_frob(df_type: str) -> bool:
+    """Whether a column of the type holds frobs: a delegate with a payload."""
+    return df_type.startswith("struct<delegate:bigint,payload:")
+
+
+def raise_(code: str, kind: str, message: str = "") -> Column:
+    """raise: fails the query where the row is evaluated, unless recover meets it first."""
+    return F.raise_error(F.lit(f"{code}: {message}" if message else code)).cast(kind)
+
+
+def recover(attempts: list[tuple[Column, Column]], fallback) -> Column:
+    """Per row the value of the first attempt whose condition holds, else ``fallback``.
+
+    An expression of Spark fails for the whole query and can't be caught in a row, so an
+    attempt names the condition under which it can't fail, as in
+    ``recover([(b != 0, a / b)], 0)``; the value is evaluated only there."""
+    out = _c(fallback) if isinstance(fallback, (str, Column)) else F.lit(fallback)
+    for condition, value in reversed(attempts):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def error_parts(text) -> Column:
+    """struct<code, message> of a caught error's text `CODE: message`."""
+    t = _c(text)
+    return F.struct(F.regexp_extract(t, r"^(E_\w+)", 1).alias("code"), F.trim(F.regexp_replace(t, r"^E_\w+:?", "")).alias("message"))
+
+
+class Registry:
+    """Scalar functions by name with the number of arguments and the type of the result,
+    which is held to: a function whose column has another type is refused when called."""
+
+    def __init__(self):
+        self.functions: dict[str, tuple] = {}
+
+    def register(self, name: str, function, arity: int, kind: str) -> None:
+        if name in self.functions:
+            raise ValueError(f"{name} exists")
+        self.functions[name] = (function, arity, kind)
+
+    def call(self, df, name: str, *args, out: str):
+        """``df`` with the column ``out``."""
+        if name not in self.functions:
+            raise KeyError(name)
+        function, arity, kind = self.functions[name]
+        if len(args) != arity:
+            raise ValueError(f"{name} takes {arity} arguments, not {len(args)}")
+        done = df.withColumn(out, function(*args))
+        found = dict(done.dtypes)[out]
+        if found != kind:
+            raise TypeError(f"{name} gives {found}, not {kind}")
+        return done

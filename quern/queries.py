@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .catalog import Catalog, RelationMeta
 from .functions import literals, scalars as S
 from .operators import closure as G, delta as D, dispatch as X, search
 from .plans.algebra import Plan
 from .plans import demand
 from .plans.atoms import HOLE, Var, exists, query, values
 from .plans.rules import RuleSet, atom, guard, rule
-from .relation import Relation, top_by_key
+from .relation import Relation
 from .runtime import Scratch, read
 from .sources import computed as CR, files as FS, syntax as SY
 
@@ -344,12 +343,17 @@ def delta_join(spark, d):
 
 # -- search (P4-P7) ----------------------------------------------------------------------
 @_q("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-s AS (SELECT label AS subject, max(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS score FROM embeddings, q GROUP BY label)
-SELECT subject, round(score, 5) AS score FROM s ORDER BY score DESC, subject LIMIT 10""")
+s AS (SELECT vec_id % 2 AS i, label AS subject, max(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS score FROM embeddings, q GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, subject) AS k FROM s)
+SELECT CASE i WHEN 0 THEN 'even' ELSE 'odd' END AS index, subject, round(score, 3) AS score FROM k WHERE k <= 10""")
 def nearest_embedding(spark, d):
+    """Of two indexes by membership, the subjects nearest to one vector; scores are f32."""
     e = read(spark, d, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()[0]
-    return search.nearest_embedding(e, q, 10, subject="label", embedding="embedding").withColumn("score", F.round("score", 5))
+    member = e.select(F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("index"), "vec_id")
+    near = CR.ComputedRegistry(CR.nearest_relation(e, "label", "embedding", members=member, key="vec_id"))
+    found = [near.scan("NearestEmbedding", [i, q, 10, None, None, None]) for i in ("even", "odd")]
+    return found[0].union(found[1]).select("index", "subject", F.round(F.col("score").cast("double"), 3).alias("score"))
 
 
 _UNITS = "u AS (SELECT DISTINCT repository, unit, path, title, kind, text, start_line FROM indexed_text_unit)"
@@ -360,15 +364,22 @@ s AS (SELECT unit, path, start_line, (CASE WHEN contains(p, 'rusty lantern') THE
  + {' + '.join(f"CASE WHEN f = '{t}' THEN 240 WHEN contains(f, '{t}') THEN 180 ELSE 0 END + CASE WHEN contains(p, '{t}') THEN 110 ELSE 0 END + CASE WHEN contains(ti, '{t}') THEN 95 ELSE 0 END + CASE WHEN contains(te, '{t}') THEN 55 ELSE 0 END + CASE WHEN contains(ki, '{t}') THEN 20 ELSE 0 END" for t in ('lantern', 'rusty'))})::BIGINT AS score FROM x)
 SELECT unit, score, path FROM s WHERE score > 0 ORDER BY score DESC, path, start_line, unit LIMIT 20""")
 def text_search(spark, d):
-    units = read(spark, d, "indexed_text_unit").dropDuplicates(["repository", "unit"])
+    units = read(spark, d, "indexed_text_unit").select("repository", "unit", "path", "title", "kind", "text", "start_line", "end_line").distinct()
     return search.text_search(units, "rusty lantern", 20).select("unit", "score", "path")
 
 
-@_q()
+@_q("""WITH u AS (SELECT DISTINCT repository, unit, path, title, kind, text, start_line, end_line FROM indexed_text_unit
+  WHERE regexp_matches(path, '(^|/)docs?/|\\.(md|markdown|rst|txt)$') AND NOT regexp_matches(path, '(^|/)(tests?|spec)/|[._-](test|spec)\\.\\w+$')),
+x AS (SELECT *, lower(coalesce(path, '')) AS p, lower(coalesce(title, '')) AS ti, lower(coalesce(text, '')) AS te, lower(coalesce(kind, '')) AS ki, lower(string_split(coalesce(path, ''), '/')[-1]) AS f FROM u),
+sy AS (SELECT DISTINCT repository, path, start_line AS a, end_line AS b, CASE WHEN lower(name) = 'index' THEN 320 ELSE 190 END AS pts FROM indexed_symbol WHERE contains(lower(name), 'index')),
+ex AS (SELECT x.repository, x.unit, sum(pts) AS pts FROM x JOIN sy ON x.repository = sy.repository AND x.path = sy.path AND a <= end_line AND start_line <= b GROUP BY ALL),
+s AS (SELECT unit, path, start_line, (CASE WHEN contains(p, 'index') THEN 370 ELSE 0 END + CASE WHEN contains(ti, 'index') THEN 305 ELSE 0 END + CASE WHEN contains(te, 'index') THEN 175 ELSE 0 END
+  + CASE WHEN f = 'index' THEN 240 WHEN contains(f, 'index') THEN 180 ELSE 0 END + CASE WHEN contains(ki, 'index') THEN 20 ELSE 0 END + coalesce(pts, 0))::BIGINT AS score FROM x LEFT JOIN ex USING (repository, unit))
+SELECT unit, score, path FROM s WHERE score > 0 ORDER BY score DESC, path, start_line NULLS FIRST, unit LIMIT 25""")
 def text_search_symbols(spark, d):
-    """With overlapping symbols, matched lines and snippets."""
-    units = read(spark, d, "indexed_text_unit").dropDuplicates(["repository", "unit"])
-    return search.text_search(units, "index", 25, "docs", read(spark, d, "indexed_symbol"))
+    """With overlapping symbols, matched lines and snippets, in one scope."""
+    units = read(spark, d, "indexed_text_unit").select("repository", "unit", "path", "title", "kind", "text", "start_line", "end_line").distinct()
+    return search.text_search(units, "index", 25, "docs", read(spark, d, "indexed_symbol")).select("unit", "score", "path")
 
 
 @_q("""WITH s AS (SELECT DISTINCT symbol, name, kind, path, start_line, end_line, start_byte FROM indexed_symbol WHERE contains(lower(name), 'open'))
@@ -459,9 +470,11 @@ def references_of(spark, d):
     return SY.references_of(read(spark, d, "indexed_reference"), read(spark, d, "indexed_symbol").where("kind = 'class'"))
 
 
-@_q()
+@_q(f"SELECT DISTINCT repository, revision, path, i AS number, string_split({_BODY}, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split({_BODY}, chr(10))) + 1)) AS i FROM source_file WHERE length(text) > 0)")
 def syntax_line(spark, d):
-    return SY.syntax_line(read(spark, d, "source_file"))
+    """Every line's segments; put together again they are the line."""
+    x = SY.syntax_line(read(spark, d, "source_file"))
+    return x.select("repository", "revision", "path", "number", F.array_join(F.transform("segments", lambda p: p["text"]), "").alias("line"))
 
 
 @_q("SELECT DISTINCT repository, path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'markdown' END AS language, model FROM indexed_text_unit WHERE path LIKE '%.md'")
@@ -479,7 +492,7 @@ def demand_bound(spark, d):
     return demand.ask(rs, r, "Reach", [1, None], spark, "long")
 
 
-@_q()
+@_q("SELECT 'assert Nation(' || n_nationkey || ', \"' || n_name || '\")' AS line FROM nation")
 def fileout(spark, d):
     return FS.render_facts("Nation", _t(spark, d, "nation", "n_nationkey", "n_name"))
 
@@ -608,3 +621,46 @@ def frob_fns(spark, d):
     f = S.frob("s_nationkey", "s_name")
     return read(spark, d, "supplier").select("s_suppkey", S.frob_delegate(f).alias("delegate"), S.frob_value(f).alias("payload"))
 
+
+@_q("""SELECT n_nationkey, n_nationkey > 3 AND n_regionkey > 1 AS both, n_nationkey > 20 OR n_regionkey = 0 AS either, [n_nationkey, 7, 8, n_regionkey] AS spliced, '{"a":' || n_regionkey || ',"b":5}' AS literal,
+n_name AS symbol, CASE WHEN n_regionkey <> 0 THEN n_nationkey % n_regionkey ELSE -1 END AS recovered, 'E_DIV' AS code, 'by zero' AS message, upper(n_name) AS again FROM nation""")
+def logic_fns(spark, d):
+    """and / or, splice, map literals, symbols, recovery, errors' parts, strings from characters."""
+    e = S.error_parts(F.lit("E_DIV: by zero"))
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    return read(spark, d, "nation").select(
+        "n_nationkey", S.and_(n > 3, r > 1).alias("both"), S.or_(n > 20, r == 0).alias("either"), S.list_literal(n, S.splice(F.array(F.lit(7), F.lit(8))), r).alias("spliced"),
+        F.to_json(S.map_literal((F.lit("b"), F.lit(4)), (F.lit("a"), r), (F.lit("b"), F.lit(5)))).alias("literal"), S.to_symbol("n_name")["symbol"].alias("symbol"),
+        S.recover([(r != 0, S.rem(n.cast("long"), r.cast("long")).cast("int"))], -1).alias("recovered"), e["code"].alias("code"), e["message"].alias("message"),
+        S.string_from_chars(S.string_chars(F.upper("n_name"))).alias("again"))
+
+
+@_q("SELECT s_suppkey, s_suppkey * 2 + 1 AS twice, 'TypeError' AS wrong_type, 'ValueError' AS wrong_arity, TRUE AS frob, FALSE AS no_frob FROM supplier")
+def scalar_registry(spark, d):
+    """Functions by name, held to their arity and result type."""
+    reg = S.Registry()
+    reg.register("twice", lambda x: S.add(S.mul(x, F.lit(2)), F.lit(1)), 1, "bigint")
+    reg.register("bad", lambda x: F.lit("text"), 1, "bigint")
+    df = read(spark, d, "supplier").select("s_suppkey")
+    errors = []
+    for name, args in (("bad", ("s_suppkey",)), ("twice", ())):
+        try:
+            reg.call(df, name, *args, out="x")
+            errors.append("none")
+        except (TypeError, ValueError) as e:
+            errors.append(type(e).__name__)
+    kinds = dict(df.select(S.frob("s_suppkey", F.lit("x")).alias("f"), "s_suppkey").dtypes)
+    return reg.call(df, "twice", F.col("s_suppkey"), out="twice").select("*", F.lit(errors[0]).alias("wrong_type"), F.lit(errors[1]).alias("wrong_arity"), F.lit(S.is_frob(kinds["f"])).alias("frob"), F.lit(S.is_frob(kinds["s_suppkey"])).alias("no_frob"))
+
+
+@_q("""WITH m AS (SELECT DISTINCT c_custkey, c_mktsegment AS role, n_regionkey AS surface FROM customer JOIN nation ON c_nationkey = n_nationkey), g AS (SELECT * FROM (VALUES ('BUILDING', 'read'), ('BUILDING', 'write'), ('MACHINERY', 'invoke'), ('AUTOMOBILE', 'effect')) t(role, verb))
+SELECT DISTINCT verb, c_custkey AS c0, surface AS c1 FROM m JOIN g USING (role)""")
+def authority_kinds(spark, d):
+    """Rights to read, write, invoke and effect, each by a rule over the role's grants and surface."""
+    grants = spark.createDataFrame([("BUILDING", "read"), ("BUILDING", "write"), ("MACHINERY", "invoke"), ("AUTOMOBILE", "effect")], "role string, verb string")
+    r = Tables(spark, d, {"HasRole": _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_nationkey"), "Surface": _t(spark, d, "nation", "n_nationkey", "n_regionkey"), "Grant": grants})
+    verbs = ("read", "write", "invoke", "effect")
+    rs = RuleSet([rule(atom(f"Can_{v}", "?who", "?what"), atom("HasRole", "?who", "?role", "?n"), atom("Grant", "?role", v), atom("Surface", "?n", "?what")) for v in verbs])
+    out = rs.fixpoint(r)
+    parts = [out[f"Can_{v}"].withColumn("verb", F.lit(v)) for v in verbs]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

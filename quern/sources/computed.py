@@ -54,6 +54,12 @@ class ComputedRegistry:
         return self.relations[name].scan(bindings)
 
 
+def _of_revision(symbols: DataFrame, files_: DataFrame, repository: str, revision: str) -> DataFrame:
+    """The symbols in files of the repository at that revision."""
+    at = files_.where((F.col("repository") == F.lit(repository)) & (F.col("revision") == F.lit(revision))).select(F.col("path").alias("__p")).distinct()
+    return symbols.join(at, F.col("path") == F.col("__p"), "left_semi")
+
+
 def source_relations(units: DataFrame, symbols: DataFrame, files_: DataFrame) -> ComputedRegistry:
     """Search and file views over the index tables under their usual signatures."""
     def keyed(df: DataFrame, b: Sequence[Any], *names: str) -> DataFrame:
@@ -66,7 +72,7 @@ def source_relations(units: DataFrame, symbols: DataFrame, files_: DataFrame) ->
         ComputedRelation("TextSearch", ("query", "limit", "scope", "unit", "score", "path", "start_line", "end_line", "kind", "title", "snippet"), (0, 1, 2),
                          lambda b: search.text_search(units, b[0], b[1], b[2], symbols)),
         ComputedRelation("SymbolSearch", ("repository", "revision", "query", "limit", "symbol", "name", "kind", "path", "start_line", "end_line"), (0, 1, 2, 3),
-                         lambda b: search.symbol_search(symbols, b[2], b[3], b[0])),
+                         lambda b: search.symbol_search(_of_revision(symbols, files_, b[0], b[1]), b[2], b[3], b[0])),
         ComputedRelation("FileText", (*three, "text", "hash"), (0, 1, 2), lambda b: files.file_text(keyed(files_, b, *three))),
         ComputedRelation("FileLines", (*three, "start_line", "line_count", "number", "line"), (0, 1, 2, 3, 4), lambda b: files.file_lines(keyed(files_, b, *three), b[3], b[4])),
         ComputedRelation("FileLineCount", (*three, "count"), (0, 1, 2), lambda b: files.file_line_count(keyed(files_, b, *three))),
@@ -77,10 +83,20 @@ def source_relations(units: DataFrame, symbols: DataFrame, files_: DataFrame) ->
     )
 
 
-def nearest_relation(vectors: DataFrame, subject: str, embedding: str, version: int = 0) -> ComputedRelation:
-    """NearestEmbedding: bound outputs are not filtered afterwards."""
-    return ComputedRelation("NearestEmbedding", ("index", "query_vector", "limit", "subject", "score", "snapshot_version"), (0, 1, 2),
-                            lambda b: search.nearest_embedding(vectors, b[1], b[2], subject=subject, embedding=embedding).withColumn("snapshot_version", F.lit(version).cast("long")), post_filter=False)
+def nearest_relation(vectors: DataFrame, subject: str, embedding: str, version: int = 0, members: DataFrame | None = None, key: str | None = None) -> ComputedRelation:
+    """NearestEmbedding: bound outputs are not filtered afterwards. ``members`` says by
+    (index, ``key``) which vectors belong to an index; an index that isn't named has none.
+    Without it every vector belongs to every index. Scores are 32-bit floats."""
+
+    def make(b: Sequence[Any]) -> DataFrame:
+        held = vectors
+        if members is not None:
+            mine = members.where(F.col("index") == F.lit(b[0])).select(F.col(key).alias("__m")).distinct()
+            held = vectors.join(mine, F.col(key) == F.col("__m"), "left_semi")
+        near = search.nearest_embedding(held, b[1], b[2], subject=subject, embedding=embedding)
+        return near.withColumn("score", F.col("score").cast("float")).withColumn("snapshot_version", F.lit(version).cast("long"))
+
+    return ComputedRelation("NearestEmbedding", ("index", "query_vector", "limit", "subject", "score", "snapshot_version"), (0, 1, 2), make, post_filter=False)
 
 
 def register_words(spark: SparkSession, name: str = "words_of") -> None:
