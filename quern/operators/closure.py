@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, maybe_broadcast, rows_of
@@ -10,28 +12,26 @@ from ..runtime import Scratch, maybe_broadcast, rows_of
 def closure(edges: DataFrame, src: str, dst: str, scratch: Scratch | None = None, stats: list | None = None) -> DataFrame:
     """(src, dst) pairs joined by a path of one or more edges; reflexive only round a ring.
 
-    Paths double: each round joins the pairs found last with all pairs known, so a path of
-    length n takes log2(n) rounds, and cyclic graphs end since pairs are finite. A round's
-    pairs are written once; known ones fall to an anti-join. Null ends are left out.
+    Paths double: each round puts all pairs known behind the pairs found last, which a
+    shortest path longer than those known begins with, so a path of length n takes log2(n)
+    rounds, and cyclic graphs end since pairs are finite. A round's pairs are written once;
+    known ones fall to an anti-join. Null ends are left out.
     """
     spark = edges.sparkSession
     s = scratch or Scratch(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
-    known = s.keep(e, "closure")
-    delta = known
+    delta = s.keep(e, "closure")
+    parts = [delta]
     while True:
-        left = delta.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        right = known.select("a", F.col("b").alias("m")).join(delta.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        new = s.keep(left.union(right).distinct().join(known, ["a", "b"], "left_anti"), "closure")
-        n = rows_of(new)
+        known = reduce(DataFrame.union, parts)
+        longer = delta.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        delta = s.keep(longer.join(known, ["a", "b"], "left_anti"), "closure")
+        n = rows_of(delta)
         if stats is not None:
             stats.append(n)
         if not n:
-            break
-        grown = s.keep(known.union(new), "closure")
-        s.drop(known)
-        known, delta = grown, new
-    return known.select(F.col("a").alias(src), F.col("b").alias(dst))
+            return known.select(F.col("a").alias(src), F.col("b").alias(dst))
+        parts.append(delta)
 
 
 def reachable_from(edges: DataFrame, src: str, dst: str, starts: DataFrame, scratch: Scratch | None = None) -> DataFrame:

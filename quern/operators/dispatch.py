@@ -74,10 +74,12 @@ def most_specific(found: DataFrame, params: DataFrame, delegates: DataFrame, pos
     n = p.groupBy("method").agg(F.count("*").alias("n"))
     imp = implications(params, delegates, scratch)
     left, right = p.toDF("left", "slot", "k1", "v1"), p.toDF("right", "slot", "k2", "v2")
-    # Which pairs of methods compare is settled once per pair, not per call.
-    pairs = left.join(right, "slot").where("left <> right").join(imp.withColumn("__le", F.lit(1)), ["slot", "k1", "v1", "k2", "v2"], "left")
+    # Which pairs of methods compare is settled once per pair, not per call, and a pair meets
+    # only through a restriction of one that implies one of the other.
     back = imp.select("slot", F.col("k1").alias("k2"), F.col("v1").alias("v2"), F.col("k2").alias("k1"), F.col("v2").alias("v1"), F.lit(1).alias("__ge"))
-    pairs = pairs.join(back, ["slot", "k1", "v1", "k2", "v2"], "left").groupBy("left", "right").agg(F.count("__le").alias("le"), F.count(F.when(F.col("__le").isNotNull() & F.col("__ge").isNull(), 1)).alias("strict"))
+    known = imp.join(back, ["slot", "k1", "v1", "k2", "v2"], "left")
+    pairs = left.join(known, ["slot", "k1", "v1"]).join(right, ["slot", "k2", "v2"]).where("left <> right")
+    pairs = pairs.groupBy("left", "right").agg(F.count("*").alias("le"), F.count(F.when(F.col("__ge").isNull(), 1)).alias("strict"))
     sizes = pairs.join(n.toDF("left", "nl"), "left").join(n.toDF("right", "nr"), "right")
     better = sizes.where("le = nr and nl = nr and strict > 0") if positional else sizes.where("le = nr and (strict > 0 or nl > nr)")
     better = better.select("left", "right")

@@ -541,6 +541,31 @@ def dispatch_specific(spark, d):
     return X.most_specific(X.applicable(calls, args, sel, par, dele, proto), par, dele)
 
 
+@_q("SELECT * FROM (VALUES ('c1', 'move'), ('c2', 'move_far')) t(call, method)")
+def dispatch_positional(spark, d):
+    """Positional calls: exactly as many arguments as parameters, matched by place."""
+    sel = spark.createDataFrame([("move", "move"), ("move_far", "move")], "method string, selector string")
+    par = spark.createDataFrame([("move", "0", "any", None), ("move_far", "0", "any", None), ("move_far", "1", "any", None)], "method string, slot string, rkind string, rvalue string")
+    calls = spark.createDataFrame([("c1", "move"), ("c2", "move"), ("c3", "move")], "call string, selector string")
+    args = spark.createDataFrame([("c1", "0", "int", "1", None), ("c2", "0", "int", "1", None), ("c2", "1", "int", "2", None)] + [("c3", str(i), "int", "1", None) for i in range(3)],
+                                 "call string, slot string, kind string, value string, delegate string")
+    _, _, dele, proto, _, _ = _methods(spark)
+    return X.applicable(calls, args, sel, par, dele, proto, positional=True)
+
+
+@_q("SELECT 'c1' AS call, 2::BIGINT AS methods")
+def dispatch_ambiguous(spark, d):
+    """Two methods, each stricter in another place, are both left; a call that only one fits has one."""
+    sel = spark.createDataFrame([("by_thing", "put"), ("by_lamp", "put")], "method string, selector string")
+    par = spark.createDataFrame([("by_thing", "obj", "identity", "lamp"), ("by_thing", "into", "identity", "thing"), ("by_lamp", "obj", "identity", "thing"), ("by_lamp", "into", "identity", "lamp")],
+                                "method string, slot string, rkind string, rvalue string")
+    calls = spark.createDataFrame([("c1", "put"), ("c2", "put")], "call string, selector string")
+    args = spark.createDataFrame([("c1", "obj", "identity", "lamp7", None), ("c1", "into", "identity", "lamp7", None), ("c2", "obj", "identity", "rock", None), ("c2", "into", "identity", "lamp7", None)],
+                                 "call string, slot string, kind string, value string, delegate string")
+    _, _, dele, proto, _, _ = _methods(spark)
+    return X.ambiguous(X.most_specific(X.applicable(calls, args, sel, par, dele, proto), par, dele))
+
+
 # -- scalar functions (F1-F36) -------------------------------------------------------------
 @_q("""SELECT c_custkey, length(c_name) AS len, c_name[1:4] AS head, string_split(c_name, '')[1] AS first_char, array_to_string(string_split(c_name, ''), '-') AS spaced, starts_with(c_name, 'Cust') AS starts,
 contains(c_name, '#') AS has, lower(c_name) = lower(upper(c_name)) AS folded, levenshtein(c_name, c_mktsegment)::INTEGER AS distance, lower(c_mktsegment) AS low, c_name || '/' || c_mktsegment AS joined FROM customer""")
