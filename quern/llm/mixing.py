@@ -46,7 +46,7 @@ def mixture_plan(sized: DataFrame, targets: DataFrame, total: float | None = Non
 
     Shares are taken of the targets whose sources have documents. Without ``total`` the
     mixture is the largest in which no source needs more than max_repeats copies of a
-    document; a larger ``total`` is refused down to that size, so shares always hold.
+    document; a larger ``total`` is an error, as the shares would not hold.
     """
     have = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -56,7 +56,11 @@ def mixture_plan(sized: DataFrame, targets: DataFrame, total: float | None = Non
     t = t.select("*", F.sum(F.when(usable, F.col("target_share"))).over(every).alias("__sum"), F.min(F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).over(every).alias("__m"))
     share = F.when(usable, F.col("target_share") / F.col("__sum")).otherwise(0.0)
     largest = F.col("__m") * F.col("__sum")
-    goal = share * (F.least(F.lit(float(total)), largest) if total is not None else largest)
+    if total is None:
+        size = largest
+    else:
+        size = F.when(F.lit(float(total)) <= largest, F.lit(float(total))).when(largest.isNotNull(), F.raise_error(F.concat(F.lit(f"a mixture of {total} tokens needs more repeats than allowed; the largest has "), F.floor(largest).cast("string"))).cast("double"))
+    goal = share * size
     return t.withColumn("share", share).withColumn("goal", F.coalesce(goal, F.lit(0.0))).withColumn(
         "rate", F.when(F.col("tokens") > 0, F.least(F.col("goal") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)).drop("__sum", "__m")
 

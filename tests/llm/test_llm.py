@@ -235,6 +235,8 @@ def test_mix(spark):
         assert rep["none"].mixed_tokens == 0 and rep["none"].actual_share == 0
     small = mixture_report(df, t, mix(df, t, total=5000), total=5000).collect()
     assert abs(sum(r.mixed_tokens for r in small) - 5000) < 600
+    with pytest.raises(Exception, match="needs more repeats than allowed"):
+        mix(df, t, total=10**9).count()
     assert mix(df.limit(0), t).count() == 0
 
 
