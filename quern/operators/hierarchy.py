@@ -9,8 +9,6 @@ log2(d) rounds and not d. Paths and depths are then read off the ranges in preor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -56,25 +54,25 @@ def build_hierarchy(
     # node, least the smallest node among the first 2^k of the way up.
     first = linked.join(inner, F.col("parent") == F.col("__n"), "left").select(
         "node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("n"), F.col("node").alias("least"), F.col("__in").isNull().alias("settled"))
-    moving = s.keep(first, "up", local=False)
-    ups, open_ = [moving], -1
+    settled = lambda tables: s.part(tables, "settled", "true").withColumn("settled", F.lit(True))
+    unsettled = lambda tables: s.part(tables, "settled", "false").withColumn("settled", F.lit(False))
+    ups, open_ = [s.keep(first, "up", local=False, by="settled")], -1
     while True:
-        still = moving.where("not settled").count()
+        now = unsettled(ups[-1:])
+        still = now.count()
         if still in (0, open_):  # each round settles some node of a tree that has any left
             break
         open_ = still
-        now = moving.where("not settled")
         gained = now.groupBy(F.col("jump").alias("__t")).agg(F.sum("n").alias("__g"))
-        far = _together([u.where("settled") for u in ups] + [now]).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("least").alias("__l"), F.col("settled").alias("__s"))
+        far = settled(ups).unionByName(now).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("least").alias("__l"), F.col("settled").alias("__s"))
         step = now.join(far, F.col("jump") == F.col("__n")).join(gained, F.col("node") == F.col("__t"), "left").select(
             "node", F.col("__j").alias("jump"), (F.col("n") + F.coalesce("__g", F.lit(0))).alias("n"), F.least("least", "__l").alias("least"), F.col("__s").alias("settled"))
-        moving = s.keep(step, "up", local=False)
-        ups.append(moving)
-    caught = moving.where("not settled") if still else None
+        ups.append(s.keep(step, "up", local=False, by="settled"))
+    caught = now if still else None
 
     # What is settled is in a tree; sizes are the hand-overs of all rounds, roots' their nodes.
-    rooted = _together([u.where("settled") for u in ups]).select("node", F.col("jump").alias("root"))
-    handed = _together([u.where("not settled").select(F.col("jump").alias("node"), F.col("n").alias("size")) for u in ups])
+    rooted = settled(ups).select("node", F.col("jump").alias("root"))
+    handed = unsettled(ups).select(F.col("jump").alias("node"), F.col("n").alias("size"))
     whole = rooted.select(F.col("root").alias("node"), F.lit(1).cast("long").alias("size"))
     sizes = handed.unionByName(whole).groupBy("node").agg((F.sum("size") + 1).alias("__size"))
     tree = linked.join(rooted, "node").join(sizes, "node", "left").select("node", "parent", "root", F.coalesce("__size", F.lit(1)).alias("size"))
@@ -86,15 +84,14 @@ def build_hierarchy(
     offset = tree.withColumn("__in", inside).join(per, ["parent", "__b"])
 
     # Downward: lft is the sum of the offsets along the way to the root, doubled likewise.
-    moving = s.keep(offset.select("node", F.col("parent").alias("jump"), (F.col("__before") + F.col("__in") + 1).alias("lft"), (F.col("parent") == F.col("root")).alias("settled")), "down", local=False)
-    downs = [moving]
+    start = offset.select("node", F.col("parent").alias("jump"), (F.col("__before") + F.col("__in") + 1).alias("lft"), (F.col("parent") == F.col("root")).alias("settled"))
+    downs = [s.keep(start, "down", local=False, by="settled")]
     for _ in range(len(ups) - (2 if caught is not None else 1)):
-        now = moving.where("not settled")
-        far = _together([u.where("settled") for u in downs] + [now]).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("lft").alias("__l"), F.col("settled").alias("__s"))
+        now = unsettled(downs[-1:])
+        far = settled(downs).unionByName(now).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("lft").alias("__l"), F.col("settled").alias("__s"))
         step = now.join(far, F.col("jump") == F.col("__n")).select("node", F.col("__j").alias("jump"), (F.col("lft") + F.col("__l")).alias("lft"), F.col("__s").alias("settled"))
-        moving = s.keep(step, "down", local=False)
-        downs.append(moving)
-    at = _together([u.where("settled") for u in downs]).select("node", "lft")
+        downs.append(s.keep(step, "down", local=False, by="settled"))
+    at = settled(downs).select("node", "lft")
 
     # Roots: children without parent, and parents that are nobody's child.
     tops = base.where("parent is null").select("node", F.lit(True).alias("is_child")).unionByName(
@@ -106,26 +103,20 @@ def build_hierarchy(
     out = out.withColumn("ring", F.lit(False))
     if caught is None:
         return out
-    ringed = _rings(s, caught, ups).select("node", "root")
+    ringed = _rings(s, caught, unsettled(ups[:1])).select("node", "root")
     extra = {"depth": F.lit(-1).cast("long"), "path": F.lit("")} if paths else {}
     ringed = ringed.join(linked, "node").select(
         "node", "parent", F.lit(True).alias("is_child"), "root", *[c.alias(k) for k, c in extra.items()], *[F.lit(None).cast("long").alias(k) for k in ("lft", "rgt", "size")], F.lit(True).alias("ring"))
     return out.unionByName(ringed)
 
 
-def _together(tables: list[DataFrame]) -> DataFrame:
-    """The rounds' tables as one scan: late rounds write little, and a task for each of
-    their files would cost more than what it reads."""
-    return reduce(DataFrame.unionByName, tables).coalesce(tables[0].sparkSession.sparkContext.defaultParallelism)
-
-
-def _rings(s: Scratch, caught: DataFrame, ups: list[DataFrame]) -> DataFrame:
+def _rings(s: Scratch, caught: DataFrame, first: DataFrame) -> DataFrame:
     """(node, root) of the nodes that run into a ring; the root is its smallest node.
 
     The doubling goes on from where the upward pass left it. Where a jump sends the set of
     its targets onto itself, that set is the rings; once all of a ring's nodes have seen the
     same smallest node, they have seen it whole."""
-    held = ups[0].join(caught.select("node"), "node", "left_semi").select("node", F.col("jump").alias("parent"))
+    held = first.join(caught.select("node"), "node", "left_semi").select("node", F.col("jump").alias("parent"))
     cur = s.keep(caught.select("node", "jump", "least").join(held, "node"), "ring")
     while True:
         # The targets of this jump, and of it taken twice.
