@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER = os.environ.get("QUERN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -30,11 +31,14 @@ def count_tokens(text: str, enc) -> int:
 
 
 def with_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Adds ``out``, the tokens of ``text``: 0 for a null or empty text."""
+    """Adds ``out``, the tokens of ``text``: 0 for a null or empty text. The driver ships the
+    tokenizer's file to the executors."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf("long")
     def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(tokenizer)
+        enc = encoding(SparkFiles.get(name))
         for s in batches:
             yield pd.Series([count_tokens(t, enc) if t else 0 for t in s], dtype="int64")
 
