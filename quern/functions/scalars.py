@@ -104,30 +104,29 @@ def parse_ordinal(s) -> Column:
     return F.when(number > 0, number).when(total > 0, total)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def split_words(text: str) -> list[str]:
     """Shell-like split: white space separates, double quotes join, a backslash escapes."""
+    out: list[str] = []
+    token, quoted = "", False
+    chars = iter(text)
+    for ch in chars:
+        if ch == "\\":
+            token += next(chars, "\\")
+        elif ch == '"':
+            quoted = not quoted
+        elif ch.isspace() and not quoted:
+            out += [token] if token else []
+            token = ""
+        else:
+            token += ch
+    return out + ([token] if token else [])
 
-    def one(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        out: list[str] = []
-        token, quoted = "", False
-        chars = iter(text)
-        for ch in chars:
-            if ch == "\\":
-                token += next(chars, "\\")
-            elif ch == '"':
-                quoted = not quoted
-            elif ch.isspace() and not quoted:
-                out += [token] if token else []
-                token = ""
-            else:
-                token += ch
-        return out + ([token] if token else [])
 
+@F.pandas_udf(ArrayType(StringType()))
+def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """split_words of a column; null for null."""
     for s in batches:
-        yield s.map(one)
+        yield pd.Series([None if t is None else split_words(t) for t in s], dtype=object)
 
 
 # -- numbers ---------------------------------------------------------------------------
@@ -268,21 +267,21 @@ def json_get(x, key: str, kind: str = "string") -> Column:
 
 def embed_text(text, dimensions: int = 8) -> Column:
     """The deterministic embedding: code point plus place, modulo 8, counted and scaled to
-    length 1 (all zero for the empty text), as floats. Null for null. One pass over the
-    code points in Arrow batches; higher-order functions would walk the text per slot."""
+    length 1 (all zero for the empty text), as floats. Null for null. A batch's
+    code points are counted together; higher-order functions would walk the text per slot."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(t: str | None):
-            if t is None:
-                return None
-            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("int64")
-            counts = np.bincount((points + np.arange(len(points))) % dimensions, minlength=dimensions).astype("float64")
-            norm = np.sqrt((counts * counts).sum())
-            return (counts / norm if norm else counts).astype("float32")
-
         for b in batches:
-            yield b.map(one)
+            raw = [b"" if t is None else t.encode("utf-32-le", "surrogatepass") for t in b]
+            sizes = np.array([len(r) // 4 for r in raw], dtype="int64")
+            points = np.frombuffer(b"".join(raw), dtype="<u4").astype("int64")
+            row, first = np.repeat(np.arange(len(raw)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+            slot = (points + np.arange(len(points)) - first) % dimensions
+            counts = np.bincount(row * dimensions + slot, minlength=len(raw) * dimensions).reshape(-1, dimensions).astype("float64")
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = (counts / np.where(norm == 0, 1, norm)).astype("float32")
+            yield pd.Series([None if t is None else u for t, u in zip(b, unit)], dtype=object)
 
     return embed(_c(text))
 

@@ -234,8 +234,9 @@ def visible_items(spark, d):
 
 
 def _edges(spark, d):
-    """A cyclic graph on all nations: k -> (7k + 3) mod 25."""
-    return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), ((F.col("n_nationkey").cast("long") * 7 + 3) % 25).alias("b")).distinct()
+    """All customers under the one of a tenth of their number, with a ring of the first ten on top."""
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select(k.alias("a"), F.when(k >= 10, F.expr("c_custkey div 10")).otherwise((k + 1) % 10).alias("b")).distinct()
 
 
 def _tree(spark, d):
@@ -243,7 +244,7 @@ def _tree(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 10").alias("b")).distinct()
 
 
-_E = "e AS (SELECT DISTINCT n_nationkey::BIGINT AS a, (n_nationkey::BIGINT * 7 + 3) % 25 AS b FROM nation)"
+_E = "e AS (SELECT DISTINCT c_custkey AS a, CASE WHEN c_custkey >= 10 THEN c_custkey // 10 ELSE (c_custkey + 1) % 10 END AS b FROM customer)"
 _TREE = "e AS (SELECT DISTINCT c_custkey AS a, c_custkey // 10 AS b FROM customer)"
 _CLOSE = "WITH RECURSIVE {2}, p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a AS {0}, b AS {1} FROM p"
 
@@ -275,9 +276,9 @@ def delegates_star(spark, d):
     return G.closure(_tree(spark, d), "a", "b")
 
 
-@_q(f"WITH RECURSIVE {_E}, p AS (SELECT a, b FROM e WHERE a < 3 UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a AS start, b FROM p")
+@_q(f"WITH RECURSIVE {_E}, p AS (SELECT a, b FROM e WHERE a % 50 = 0 UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a AS start, b FROM p")
 def delegates_star_from(spark, d):
-    starts = spark.createDataFrame([(0,), (1,), (2,)], "start long")  # the nodes asked about
+    starts = read(spark, d, "customer").where("c_custkey % 50 = 0").select("c_custkey")  # the nodes asked about
     return G.reachable_from(_edges(spark, d), "a", "b", starts)
 
 
@@ -297,10 +298,11 @@ def within_hierarchy(spark, d):
     return rs.fixpoint(r)["Within"]
 
 
-@_q("""WITH RECURSIVE nxt AS (SELECT DISTINCT r_regionkey::BIGINT AS a, r_regionkey::BIGINT + 1 AS b FROM region),
+@_q("""WITH RECURSIVE nxt AS (SELECT DISTINCT c_custkey // 10 AS a, c_custkey AS b FROM customer WHERE c_custkey > 0),
 w AS (SELECT 0::BIGINT AS n, 0 AS side UNION SELECT nxt.b, 1 - side FROM w JOIN nxt ON w.n = nxt.a) SELECT n AS c0, CASE side WHEN 0 THEN 'left' ELSE 'right' END AS side FROM w""")
 def mutual_recursion(spark, d):
-    nxt = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("a"), (F.col("r_regionkey").cast("long") + 1).alias("b"))
+    """Down a tree of all customers, levels take turns."""
+    nxt = read(spark, d, "customer").where("c_custkey > 0").select(F.expr("c_custkey div 10").alias("a"), F.col("c_custkey").alias("b")).distinct()
     r = Tables(spark, d, {"Next": nxt, "Seed": spark.range(1).select(F.col("id").alias("a"))})
     rs = RuleSet([
         rule(atom("Left", "?x"), atom("Seed", "?x")), rule(atom("Right", "?y"), atom("Left", "?x"), atom("Next", "?x", "?y")),
@@ -465,9 +467,9 @@ def definition_at(spark, d):
 
 
 @_q("""SELECT DISTINCT r.repository, r.symbol, r.path, r.start_line, r.end_line, r.start_byte, r.end_byte, 'index' AS provider, r.name FROM indexed_reference r
-WHERE EXISTS (SELECT 1 FROM indexed_symbol s WHERE s.repository = r.repository AND s.symbol = r.symbol AND s.kind = 'class')""")
+WHERE EXISTS (SELECT 1 FROM indexed_symbol s WHERE s.repository = r.repository AND s.symbol = r.symbol)""")
 def references_of(spark, d):
-    return SY.references_of(read(spark, d, "indexed_reference"), read(spark, d, "indexed_symbol").where("kind = 'class'"))
+    return SY.references_of(read(spark, d, "indexed_reference"), read(spark, d, "indexed_symbol"))
 
 
 @_q(f"SELECT DISTINCT repository, revision, path, i AS number, string_split({_BODY}, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split({_BODY}, chr(10))) + 1)) AS i FROM source_file WHERE length(text) > 0)")
@@ -607,9 +609,11 @@ def parse_ordinal(spark, d):
     return spark.createDataFrame(rows, "s string").select("s", S.parse_ordinal("s").cast("int").alias("n"))
 
 
-@_q("SELECT DISTINCT p_partkey, regexp_extract_all(p_name, '\\S+') AS w FROM part")
+@_q("SELECT DISTINCT p_partkey, list_concat(regexp_extract_all(p_name, '\\S+'), ['a  b', 'c d', 'e\"f']) AS w FROM part")
 def words(spark, d):
-    return read(spark, d, "part").select("p_partkey", S.words("p_name").alias("w")).distinct()
+    """Quotes join and a backslash escapes."""
+    quoted = F.concat("p_name", F.lit(' "a  b" c\\ d\te\\"f '))
+    return read(spark, d, "part").select("p_partkey", S.words(quoted).alias("w")).distinct()
 
 
 @_q("""WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM documents WHERE text IS NOT NULL AND text <> ''),

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import split_words
 from ..operators import search
 from ..operators.search import MissingRequiredBindings
 from . import files
@@ -108,21 +109,6 @@ def register_words(spark: SparkSession, name: str = "words_of") -> None:
         def eval(self, text: str):
             if text is None:
                 return
-            token, quoted, n = "", False, 0
-            chars = iter(text)
-            for ch in chars:
-                if ch == "\\":
-                    token += next(chars, "\\")
-                elif ch == '"':
-                    quoted = not quoted
-                elif ch.isspace() and not quoted:
-                    if token:
-                        yield n, token
-                        n += 1
-                    token = ""
-                else:
-                    token += ch
-            if token:
-                yield n, token
+            yield from enumerate(split_words(text))
 
     spark.udtf.register(name, Words)
