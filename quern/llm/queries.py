@@ -184,7 +184,7 @@ l AS (SELECT language, count(*) AS pages, avg(x) AS mx, {_FIT} FROM v WHERE pros
 p AS (SELECT count(*) AS pages, avg(x) AS mx, {_FIT} FROM v WHERE prose),
 z AS (SELECT v.*, {", ".join(map(_z, MEASURES))} FROM v LEFT JOIN l ON l.language = v.language, p)
 SELECT doc_id, language, prose::INTEGER AS prose, n::BIGINT AS n, types::BIGINT AS types, {", ".join(f"round({m}, 3) AS {m}" for m in MEASURES)}, {", ".join(f"round(z_{m}, 3) AS z_{m}" for m in MEASURES)},
-  CASE WHEN abs(z_divergence) > 2 THEN 'divergence' WHEN abs(z_slope) > 3 THEN 'slope' WHEN abs(z_residual) > 3 THEN 'residual' END AS flag FROM z"""
+  CASE WHEN language = 'und' THEN 'unmeasured' WHEN abs(z_divergence) > 2 THEN 'divergence' WHEN abs(z_slope) > 3 THEN 'slope' WHEN abs(z_residual) > 3 THEN 'residual' END AS flag FROM z"""
 
 ORACLES = {
     "p3_checks": "SELECT DISTINCT unit, ordinal, TRUE AS tiled, TRUE AS fit, TRUE AS shared, TRUE AS \"natural\" FROM indexed_text_unit WHERE length(text) > 2000",

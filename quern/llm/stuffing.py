@@ -253,8 +253,9 @@ def flag_pages(curves: DataFrame, far: float = 2.0, steep: float = 3.0, least: i
     What prose of a length shows is a straight line over ln(n), fitted per language to its
     pages of prose alone, with the deviation from it, so no other page and no number of
     pages moves a threshold. A language with fewer than ``least`` pages of prose has no
-    line of its own and is held against that of all languages; without any prose at all
-    every page is flagged 'unmeasured'."""
+    line of its own and is held against that of all languages. Pages of no known language,
+    and all pages where there is no prose at all, have nothing of their kind to be held
+    against and are flagged 'unmeasured'."""
     x = F.log("n")
     prose = curves.where("prose").select("language", x.alias("__x"), *MEASURES)
     fits = [F.count("*").alias("__pages")] + [a for m in MEASURES for a in (
@@ -269,7 +270,7 @@ def flag_pages(curves: DataFrame, far: float = 2.0, steep: float = 3.0, least: i
     for m in MEASURES:
         sd = F.sqrt(F.greatest(F.lit(0.0), got(f"s_{m}") - F.coalesce(got(f"c_{m}") * got(f"c_{m}") / F.nullif(got(f"x_{m}"), F.lit(0.0)), F.lit(0.0))) / got("__pages")) + 1e-6
         out = out.withColumn(f"z_{m}", (F.col(m) - got(f"m_{m}") - F.coalesce(got(f"b_{m}"), F.lit(0.0)) * (x - got("__mx"))) / sd)
-    flag = (F.when(F.col("__any").isNull(), "unmeasured").when(F.abs("z_divergence") > far, "divergence")
+    flag = (F.when(F.col("__any").isNull() | (F.col("language") == "und"), "unmeasured").when(F.abs("z_divergence") > far, "divergence")
             .when(F.abs("z_slope") > steep, "slope").when(F.abs("z_residual") > steep, "residual"))
     return out.select(*curves.columns, *[F.round(f"z_{m}", 3).alias(f"z_{m}") for m in MEASURES], flag.alias("flag"))
 
