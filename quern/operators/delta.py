@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.rules import Atom, Rule, RuleSet, clause, components
-from ..runtime import Scratch, maybe_broadcast, rows_of
+from ..runtime import Scratch, maybe_broadcast, plan_bytes, rows_of
 
 W = "__w"
 
@@ -56,19 +56,45 @@ def effective(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return zset(absent(new, rows), 1).union(zset(meet(rows, gone, "left_semi").distinct(), -1))
 
 
-def delta_join(olds: list[DataFrame], deltas: list[DataFrame], on: list[str]) -> DataFrame:
-    """The weighted change of a natural join of several inputs: for each pivot, the inputs
-    before it new, the pivot's delta, those after it old, so each term counts once. Olds
-    and deltas carry __w; a delta joins first, as the small side where its size allows."""
-    terms = []
-    for i, d in enumerate(deltas):
-        acc = maybe_broadcast(d).withColumnRenamed(W, "__acc")
-        for j in range(len(olds)):
-            if j != i:
-                side = plus(olds[j], deltas[j]) if j < i else olds[j]
-                acc = acc.join(side.withColumnRenamed(W, "__side"), on).withColumn("__acc", F.col("__acc") * F.col("__side")).drop("__side")
-        terms.append(acc.withColumnRenamed("__acc", W))
-    return plus(*terms)
+def delta_join(olds: list[DataFrame], deltas: list[DataFrame], on: list[str], whole: bool = False) -> DataFrame:
+    """The weighted change of a natural join of several inputs, or with ``whole`` the join
+    after it: the old join plus its change. Olds and deltas carry __w.
+
+    A joined row holds every column of its inputs, so where each input has one row per tuple,
+    with its old weight and its change, a joined row comes out once and with its final weight:
+    the inputs are added up and what they join to, which may be far more, never is. A row's
+    pivot is the first input that changed: the inputs before it are unchanged, those after it
+    whatever they are, and the term without a pivot is what no change touches."""
+    if not whole:  # rows of other keys join no change
+        keys = maybe_broadcast(reduce(DataFrame.union, [d.select(*on) for d in deltas]).distinct())
+        olds = [o.join(keys, on, "left_semi") for o in olds]
+    inputs = [_old_and_change(o, d, i) for i, (o, d) in enumerate(zip(olds, deltas))]
+    still = [x.where(f"{W}d{i} = 0") for i, x in enumerate(inputs)]
+    moved = [x.where(f"{W}d{i} <> 0") for i, x in enumerate(inputs)]
+    terms = [[*still[:i], moved[i], *inputs[i + 1 :]] for i in range(len(inputs))] + ([still] if whole else [])
+    was = reduce(lambda a, b: a * b, [F.col(f"{W}o{i}") for i in range(len(inputs))])
+    now = reduce(lambda a, b: a * b, [F.col(f"{W}o{i}") + F.col(f"{W}d{i}") for i in range(len(inputs))])
+    cols = [*on, *[c for o in olds for c in o.columns if c not in (*on, W)]]
+    out = [_join(t, on).select(*cols, (now if whole else now - was).alias(W)) for t in terms]
+    return reduce(DataFrame.unionByName, out).where(F.col(W) != 0)
+
+
+def _old_and_change(old: DataFrame, delta: DataFrame, i: int) -> DataFrame:
+    """One row per tuple, with its old weight and its change. A row may join to thousands:
+    rows are dealt by hash over a fixed number of tasks, which aren't merged for being small."""
+    cols = [c for c in old.columns if c != W]
+    both = old.withColumn("__d", F.lit(0).cast("long")).unionByName(delta.withColumn("__d", F.col(W)).withColumn(W, F.lit(0).cast("long")))
+    spark = old.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(tasks, *cols).groupBy(*cols).agg(F.sum(W).alias(f"{W}o{i}"), F.sum("__d").alias(f"{W}d{i}")).where(f"{W}o{i} <> 0 or {W}d{i} <> 0")
+
+
+def _join(inputs: list[DataFrame], on: list[str]) -> DataFrame:
+    """The largest input is only scanned, the others broadcast where their size allows: files
+    are packed, and rows in memory take some ten times the bytes that the optimizer counts."""
+    sizes = [plan_bytes(x) for x in inputs]
+    first = sizes.index(max(sizes))
+    return reduce(lambda a, b: a.join(maybe_broadcast(b, 16 << 20), on), [x for j, x in enumerate(inputs) if j != first], inputs[first])
 
 
 def support_change(support: DataFrame, base: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:

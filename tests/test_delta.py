@@ -1,7 +1,10 @@
+import itertools
 import random
+from collections import Counter
 
 import pytest
 
+from quern import queries
 from quern.operators import delta as D
 from quern.plans.atoms import HOLE
 from quern.plans.rules import RuleSet, atom, guard, rule
@@ -103,6 +106,66 @@ def test_delta_join_counts_each_term_once(spark, rows):
     assert sorted((r.x, r.y) for r in got.collect()) == sorted(full) and {r[D.W] for r in got.collect()} == {1}
 
 
+def test_delta_join_of_three_against_brute_force(spark):
+    """Rows repeated, lost, back again and of null; what cancels out isn't shown, nothing is shown twice."""
+    rng = random.Random(3)
+    ddl = ["k long, a long", "b long, k long", "k long, c long"]
+    at = [0, 1, 0]  # where k is
+
+    def bag(n):
+        return [(rng.choice([0, 1, 2, None]), rng.choice([0, 1, None]), rng.choice([-1, 1, 1, 2])) for _ in range(n)]
+
+    def total(*bags):
+        out = Counter()
+        for x in bags:
+            for a, b, w in x:
+                out[a, b] += w
+        return out
+
+    def joined(inputs):
+        out = Counter()
+        for (r, v), (s, w), (t, x) in itertools.product(*[i.items() for i in inputs]):
+            k = {row[i] for row, i in zip((r, s, t), at)}
+            if len(k) == 1 and None not in k:
+                out[k.pop(), r[1], s[0], t[1]] += v * w * x
+        return out
+
+    olds, deltas = [bag(9) for _ in range(3)], [bag(4) for _ in range(3)]
+    deltas[1] += [(a, b, -w) for a, b, w in olds[1][:3]]
+    frames = lambda bags: [frame(spark, b, f"{d}, {D.W} long") for b, d in zip(bags, ddl)]
+    before, after = joined([total(o) for o in olds]), joined([total(o, d) for o, d in zip(olds, deltas)])
+    for whole in (False, True):
+        want = Counter(after)
+        if not whole:
+            want.subtract(before)
+        got = [tuple(r) for r in D.delta_join(frames(olds), frames(deltas), ["k"], whole=whole).select("k", "a", "b", "c", D.W).collect()]
+        assert len({r[:-1] for r in got}) == len(got)
+        assert {r[:-1]: r[-1] for r in got} == {t: w for t, w in want.items() if w}
+
+
+def test_delta_join_adds_up_its_inputs_and_not_what_they_join_to(spark):
+    """Joined rows, thousands for one customer of a large nation, go through no shuffle or aggregate."""
+    z = lambda n, where: D.zset(spark.range(n).where(where).selectExpr(f"id as x{n}", "id % 5 as k"))
+    old, delta = ([z(n, where) for n in (200, 100)] for where in ("id % 10 <> 0", "id % 10 = 0"))
+    change, whole = D.delta_join(old, delta, ["k"]), D.delta_join(old, delta, ["k"], whole=True)
+    assert change.count() == 600 and whole.count() == 4000
+    for df in (change, whole, queries.delta_join(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        above = plan[: next(i for i, x in enumerate(plan) if "Join" in x)]
+        assert not any(word in x for x in above for word in ("Aggregate", "Repartition"))
+
+
+def test_delta_join_query_on_odd_rows(spark, tmp_path, rows):
+    """Repeated rows count, rows without a key too; those without a nation join nothing."""
+    c = [(10, 1), (10, 1), (3, 1), (None, 1), (None, 1), (20, 2), (4, 2), (5, None), (None, None), (6, 7)]
+    s = [(10, 1), (2, 1), (2, 1), (None, 1), (30, 2), (None, 2), (7, None)]
+    for name, x, ddl in (("customer", c, "c_custkey long, c_nationkey int"), ("supplier", s, "s_suppkey long, s_nationkey int")):
+        frame(spark, x, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = Counter((x, k, y) for x, k in c for y, n in s if k == n and k is not None)
+    df = queries.delta_join(spark, str(tmp_path)).select("c_custkey", "k", "s_suppkey", "w")
+    assert rows(df) == sorted(((*t, w) for t, w in want.items()), key=repr)
+
+
 def test_support(spark, rows):
     s = D.consolidate(D.zset(frame(spark, [(1,), (1,), (2,)], "a long")))
     base = frame(spark, [(2,)], "a long")
